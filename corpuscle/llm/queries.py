@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, pack, split
+from . import bpe, docpairs, pack, parses, split
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, sf_dir, "files")).select("ws", "rel", "name", "line_start").distinct()
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs themselves, code as a digest."""
+    pairs = docpairs.documented_functions(table(spark, sf_dir, "files"))
+    return pairs.select("ws", "rel", "lang", "name", "line_start", "line_end", "signature", "doc", F.md5("code").alias("code_md5")).distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +31,15 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("ws", "rel", "n_chars", "piece_no", "n_pieces", "start_off", "end_off", "cut_kind", F.md5("text").alias("text_md5"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parses.check_syntax(table(spark, sf_dir, "files")).where("NOT valid").select("ws", "rel").distinct()
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of invalid files per workspace and language, with totals."""
+    return parses.rates(parses.check_syntax(table(spark, sf_dir, "files")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -47,7 +66,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p5_found": p5_found, "p5_rates": p5_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
 
 _LANG = """CASE WHEN lower(rel) LIKE '%.py' THEN 'python' WHEN lower(rel) LIKE '%.js' OR lower(rel) LIKE '%.mjs' THEN 'javascript'
  WHEN lower(rel) LIKE '%.ts' THEN 'typescript' WHEN lower(rel) LIKE '%.go' THEN 'go' WHEN lower(rel) LIKE '%.java' THEN 'java'
