@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, docpairs, pack, parses, split
+from . import bpe, credentials, docpairs, pack, parses, split
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,16 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("ws", "rel", "n_chars", "piece_no", "n_pieces", "start_off", "end_off", "cut_kind", F.md5("text").alias("text_md5"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_credentials(table(spark, sf_dir, "files")).select("ws", "rel", "line_no").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file that holds a credential, with how many and the redacted content as a digest."""
+    made = credentials.redact(table(spark, sf_dir, "files"))
+    return made.select("ws", "rel", "values", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5")).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parses.check_syntax(table(spark, sf_dir, "files")).where("NOT valid").select("ws", "rel").distinct()
 
@@ -66,7 +76,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p5_found": p5_found, "p5_rates": p5_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_rates": p5_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
 
 _LANG = """CASE WHEN lower(rel) LIKE '%.py' THEN 'python' WHEN lower(rel) LIKE '%.js' OR lower(rel) LIKE '%.mjs' THEN 'javascript'
  WHEN lower(rel) LIKE '%.ts' THEN 'typescript' WHEN lower(rel) LIKE '%.go' THEN 'go' WHEN lower(rel) LIKE '%.java' THEN 'java'
