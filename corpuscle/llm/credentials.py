@@ -54,7 +54,8 @@ _PLACE = re.compile(
     r"n/?a|example.*|sample.*|dummy.*|placeholder.*|redacted.*|hidden|masked|removed|secret|password|passwd|passphrase|pass|pwd|token|key|apikey|api[_-]?key|foo|bar|baz|test|default|empty|unset|string|str|text|value|"
     r"[x*.•\-_#?]+|x{3,}.*|\.{3}.*|\*{2,}.*|(?:password|secret|token|key)[_-]?(?:here|goes[_-]?here)|some[_-].*|the[_-].*)$"
 )
-_REFERENCE = re.compile(r"\$\{|\$\(|\{\{|\}\}|<%|^<[^<>]*>$|^\$[A-Za-z_]\w*$|^%[A-Za-z_]\w*%$|^%\(?\w*\)?[sd]$|^\{\w*\}$|^@[A-Za-z_]|^(?:vault|env|ssm|arn|secret|secrets|op|keyring|file|kms|sops|doppler|awssm|gcpsm|azurekv):|process\.env|os\.environ|getenv|^ENC\[|^!\w|^&\w|^\|[-+]?$|^>[-+]?$")
+_REFERENCE = re.compile(r"\$\{|\$\(|\{\{|\}\}|<%|^<[^<>]*>$|^\$[A-Za-z_]\w*$|^%[A-Za-z_]\w*%$|^%\(?\w*\)?[sd]$|^\{\w*\}$|^(?:vault|env|ssm|arn|secret|secrets|op|keyring|file|kms|sops|doppler|awssm|gcpsm|azurekv):|process\.env|os\.environ|getenv|^ENC\[")
+_MARKUP = re.compile(r"^(?:[!&*@]\w|[|>][-+]?$)")  # of values without quotes
 _PATTERN = re.compile(r"\[[^\]]*-[^\]]*\]|\\[dwsb]|\{\d+(?:,\d*)?\}|\(\?|\.\*|\.\+")
 _QUOTE = re.compile(r"(?:[rbfuRBFU]{0,2}|r\#+)(\"\"\"|'''|\"|'|`)")
 _GLUE = re.compile(r"[ \t]*(?:\\\r?\n|\+|\.|&|,(?=[ \t]*\r?\n)|\r?\n)?[ \t]*(?:\r?\n)?[ \t]*(?:\+|\.)?[ \t]*(?:\r?\n)?[ \t]*(?:[rbfRBF]{0,2})(?P<q>\"\"\"|'''|\"|'|`)")
@@ -275,8 +276,7 @@ def _armor(text: str, at: int, add) -> None:
         for x in re.compile(r"(?:[A-Za-z0-9+/=]{16,}|[\s\"'`+,\\rn]+)+").finditer(text, body.start(2)):
             end = x.end()
             break
-    spans = [(m.start(), m.start())]
-    spans = [(x.start(), x.end()) for x in re.compile(r"[A-Za-z0-9+/=]{4,}").finditer(text, body.start(2), end)]
+    spans = [x.span(1) for x in re.compile(r"\\[nrt]|([A-Za-z0-9+/=]{4,})").finditer(text, body.start(2), end) if x[1]]
     add([(m.start(), m.end())] + spans, "private key")
 
 
@@ -411,8 +411,7 @@ def _named(t: Text, at: int, word: str, add) -> None:
     name = name if name.startswith("--") else name.lstrip("-.")
     if start and text[start - 1] in "?&":
         return _param(text, start, add)
-    name = name.rpartition(".")[2]
-    if not stands_for_credential(name):
+    if not stands_for_credential(name.rpartition(".")[2]) and not stands_for_credential(name):
         return
     where = t.loose(start)
     m = _ASSIGN.match(text, stop)
@@ -452,6 +451,8 @@ def _named(t: Text, at: int, word: str, add) -> None:
                 if t.json:
                     return  # a value without quotes is no string there
                 b = _BARE_WIDE.match(text, v)
+                if b and _MARKUP.match(b[0]):
+                    return
                 rest = text[b.end() : text.find("\n", b.end()) if "\n" in text[b.end() :] else len(text)].strip() if b else ""
                 if b and _is_value(b[0].rstrip(",;")) and (not rest or rest.startswith(("#", ";", "//", ",", "}")) or secret_like(b[0])) and not re.match(r"^[\w.]+\(", b[0]) and not b[0].rstrip(",").isdigit():
                     v2 = b[0].rstrip(",;") if rest == "" or rest.startswith(("}", "#")) else b[0]
