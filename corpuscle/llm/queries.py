@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, credentials, docpairs, pack, parses, split
+from . import bpe, credentials, docpairs, languages, pack, parses, split
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,16 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_rates": p5_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.mislabelled(table(spark, sf_dir, "documents"))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of one language, with its confidence."""
+    return languages.language_segments(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p4_redacted": p4_redacted, "p5_found": p5_found, "p5_rates": p5_rates, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_segments": p8_segments}
 
 _LANG = """CASE WHEN lower(rel) LIKE '%.py' THEN 'python' WHEN lower(rel) LIKE '%.js' OR lower(rel) LIKE '%.mjs' THEN 'javascript'
  WHEN lower(rel) LIKE '%.ts' THEN 'typescript' WHEN lower(rel) LIKE '%.go' THEN 'go' WHEN lower(rel) LIKE '%.java' THEN 'java'
