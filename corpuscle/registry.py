@@ -1,3 +1,3 @@
 """Modules of the core that offer queries (``QUERIES``) with their SQL (``ORACLE``)."""
 
-MODULES = ["corpuscle.operators.incremental"]
+MODULES = ["corpuscle.operators.incremental", "corpuscle.operators.corpus", "corpuscle.operators.grep"]
