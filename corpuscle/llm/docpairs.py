@@ -12,6 +12,7 @@ whole. ``symbols`` is not needed. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -39,23 +40,27 @@ SCAN = {
 }
 SCAN = {k: re.compile(v, re.S) for k, v in SCAN.items()}
 
-_ARGS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-_TYPE = r"(?:\s*:\s*[^{};=]+?)?"
+# possessive quantifiers: a line that is no signature costs one pass over it
+_ARGS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
+_TYPE = r"(?:\s*+:[^{};=]++)?+\s*+"
+_NO = r"(?!(?:if|for|while|switch|catch|with|return|new|else|throw|do|try|function|await|yield|case|super|this|assert|typeof|delete|void|let|const|var|import|export|class)\b)"
 _JS = (
-    rf"^[ \t]*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\b\s*\*?\s*(?P<f>[\w$]+)"
-    rf"|^[ \t]*(?:export\s+)?const\s+(?P<c>[\w$]+)(?:\s*:[^=\n]+?)?\s*=\s*(?:async\s+)?(?:function\b|(?:<[^>]*>\s*)?{_ARGS}{_TYPE}\s*=>|[\w$]+\s*=>)"
-    rf"|^[ \t]*(?:(?:public|private|protected|static|override|readonly|abstract|async|get|set)\s+)*\*?\s*(?P<m>\#?[\w$]+)\s*\??\s*(?:<[^>{{}}]*>)?\s*{_ARGS}{_TYPE}\s*\{{"
+    rf"^[ \t]*+(?:(?:(?:export\s++)?+(?:default\s++)?+(?:declare\s++)?+(?:async\s++)?+function\b\s*+\*?+\s*+(?P<f>[\w$]++))"
+    rf"|(?:export\s++)?+const\s++(?P<c>[\w$]++)(?:\s*+:[^=\n]++)?+\s*+=\s*+(?:async\s++)?+(?:function\b|(?:<[^>]*+>\s*+)?+{_ARGS}(?:\s*+:[^{{}};=]++)?+\s*+=>|[\w$]++\s*+=>)"
+    rf"|{_NO}(?:(?:public|private|protected|static|override|readonly|abstract|async|get|set)\s++(?![(:=;]))*+\*?+\s*+{_NO}(?P<m>\#?+[\w$]++)\s*+\??+\s*+(?:<[^>{{}}]*+>)?+\s*+{_ARGS}{_TYPE}\{{)"
 )
 SIGNATURE = {
-    "python": r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<f>\w+)",
+    "python": r"^[ \t]*+(?:async[ \t]++)?+def[ \t]++(?P<f>\w++)",
     "javascript": _JS, "typescript": _JS,
-    "go": rf"^func\s+(?:\([^()]*\)\s*)?(?P<f>\w+)\s*(?:\[[^\]]*\])?\s*\(",
-    "java": rf"^[ \t]*(?:@[\w.]+(?:{_ARGS})?[ \t]+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^;{{}}()]*?>\s*)?(?:[\w.$]+(?:\s*<[^;{{}}()]*?>)?(?:\s*\[\s*\])*\s+)?(?P<f>[\w$]+)\s*{_ARGS}\s*(?:throws\s+[\w.,\s]+?)?\s*[{{;]",
-    "rust": r"^[ \t]*(?:pub(?:\s*\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s*\"\s*\")?)\s+)*fn\s+(?P<f>(?:r#)?\w+)",
+    "go": r"^func\s++(?:\([^()]*+\)\s*+)?+(?P<f>\w++)\s*+(?:\[[^\]]*+\])?+\s*+\(",
+    "java": (
+        rf"^[ \t]*+(?:@[\w.]++(?:{_ARGS})?+[ \t]++)*+{_NO}(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s++)*+(?:<[^;{{}}()]*?>\s*+)?+"
+        rf"(?:(?:[\w.$]++(?:\s*+<[^;{{}}()=]*+>)?+(?:\s*+\[\s*+\])*+\s++)(?P<f>[\w$]++)\s*+{_ARGS}\s*+(?:\[\s*+\]\s*+)*+(?:throws\b[\w.,\s@]++)?+(?:default\b[^;]++)?+[{{;]|(?P<k>[A-Z][\w$]*+)\s*+{_ARGS}\s*+(?:throws\b[\w.,\s@]++)?+\{{)"
+    ),
+    "rust": r"^[ \t]*+(?:pub(?:\s*+\([^)]*+\))?+\s++)?+(?:(?:default|const|async|unsafe|extern(?:\s*+\"\s*+\")?+)\s++)*+fn\s++(?P<f>(?:r\#)?\w++)",
 }
 SIGNATURE = {k: re.compile(v, re.M) for k, v in SIGNATURE.items()}
 NOT_NAMES = frozenset("if for while switch catch with return new else throw do try function await yield case super this assert synchronized typeof delete void in of".split())
-_JAVA_NO_TYPE = re.compile(r"^\s*(?:return|new|else|throw|case|yield|assert)\b")
 
 
 # -- what documentation says
@@ -95,6 +100,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]+")
 
 
+@functools.lru_cache(200_000)
 def stem(word: str) -> str:
     """One form for the inflections of an English word; crude but the same on both sides of a comparison."""
     w = word.lower()
@@ -264,18 +270,11 @@ def functions(text: str, lang: str) -> Iterator[tuple[str, int, int, str, str, l
         if own:
             ends[lb] = (a, b, text[a : a + 2] != "/*")
     string_starts = [a for a, _ in strings]
-    if lang == "rust":  # doc attributes and lifetimes need no care; char quotes do not open strings
-        pass
     for m in SIGNATURE[lang].finditer(bare):
         name = next(g for g in m.groupdict().values() if g)
         if name in NOT_NAMES:
             continue
         at = m.start() + len(m[0]) - len(m[0].lstrip())
-        if lang == "java":
-            if _JAVA_NO_TYPE.match(m[0]) or m[0].rstrip().endswith(";") and not _java_declares(m[0]):
-                continue
-            if not _java_declares(m[0]) and not name[0].isupper():
-                continue
         first = line_of(at)
         if lang == "python":
             head = _header_end_python(bare, m.end())
@@ -313,13 +312,6 @@ def functions(text: str, lang: str) -> Iterator[tuple[str, int, int, str, str, l
         yield name, first, last, signature.rstrip("{:; "), text[at:end].rstrip(), docs
 
 
-def _java_declares(head: str) -> bool:
-    """Whether the matched head has a return type, so that it is no call."""
-    before = head[: head.index("(")].split()
-    before = [w for w in before if not w.startswith("@")]
-    return len(before) > 1
-
-
 def _inside(spans: list[tuple[int, int]], begins: list[int], at: int) -> bool:
     j = bisect_right(begins, at) - 1
     return j >= 0 and spans[j][0] < at < spans[j][1]
