@@ -276,7 +276,7 @@ def _armor(text: str, at: int, add) -> None:
         for x in re.compile(r"(?:[A-Za-z0-9+/=]{16,}|[\s\"'`+,\\rn]+)+").finditer(text, body.start(2)):
             end = x.end()
             break
-    spans = [x.span(1) for x in re.compile(r"\\[nrt]|([A-Za-z0-9+/=]{4,})").finditer(text, body.start(2), end) if x[1]]
+    spans = [x.span(1) for x in re.compile(r"\\[nrt]|(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*|([A-Za-z0-9+/=]{4,})").finditer(text, m.end(), end) if x[1]]
     add([(m.start(), m.end())] + spans, "private key")
 
 

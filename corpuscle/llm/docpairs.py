@@ -55,7 +55,7 @@ SIGNATURE = {
     "go": r"^func\s++(?:\([^()]*+\)\s*+)?+(?P<f>\w++)\s*+(?:\[[^\]]*+\])?+\s*+\(",
     "java": (
         rf"^[ \t]*+(?:@[\w.]++(?:{_ARGS})?+[ \t]++)*+{_NO}(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s++)*+(?:<[^;{{}}()]*?>\s*+)?+"
-        rf"(?:(?:[\w.$]++(?:\s*+<[^;{{}}()=]*+>)?+(?:\s*+\[\s*+\])*+\s++)(?P<f>[\w$]++)\s*+{_ARGS}\s*+(?:\[\s*+\]\s*+)*+(?:throws\b[\w.,\s@]++)?+(?:default\b[^;]++)?+[{{;]|(?P<k>[A-Z][\w$]*+)\s*+{_ARGS}\s*+(?:throws\b[\w.,\s@]++)?+\{{)"
+        rf"(?:(?:[\w.$]++(?:\s*+<(?:[^;{{}}()=<>]++|<(?:[^;{{}}()=<>]++|<[^;{{}}()=<>]*+>)*+>)*+>)?+(?:\s*+\[\s*+\])*+\s++)(?P<f>[\w$]++)\s*+{_ARGS}\s*+(?:\[\s*+\]\s*+)*+(?:throws\b[\w.,\s@]++)?+(?:default\b[^;]++)?+[{{;]|(?P<k>[A-Z][\w$]*+)\s*+{_ARGS}\s*+(?:throws\b[\w.,\s@]++)?+\{{)"
     ),
     "rust": r"^[ \t]*+(?:pub(?:\s*+\([^)]*+\))?+\s++)?+(?:(?:default|const|async|unsafe|extern(?:\s*+\"\s*+\")?+)\s++)*+fn\s++(?P<f>(?:r\#)?\w++)",
 }

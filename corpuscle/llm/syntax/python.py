@@ -17,6 +17,61 @@ def _width(ws: str) -> int:
     return n
 
 
+def _format_ok(body: str, spec: bool = False) -> bool:
+    """Whether the replacement fields of a formatted string are well formed, expressions included."""
+    i, n = 0, len(body)
+    while i < n:
+        c = body[i]
+        if c == "}":
+            if body[i + 1 : i + 2] != "}" or spec:
+                return False
+            i += 2
+            continue
+        if c != "{":
+            i += 1
+            continue
+        if body[i + 1 : i + 2] == "{" and not spec:
+            i += 2
+            continue
+        depth, j, quote, cut = 0, i + 1, "", -1
+        while j < n:
+            d = body[j]
+            if quote:
+                quote = "" if d == quote else quote
+            elif d in "\"'":
+                quote = d
+            elif d in "([{":
+                depth += 1
+            elif d in ")]}":
+                if not depth and d == "}":
+                    break
+                depth -= 1
+            elif not depth and cut < 0 and (d == ":" or d == "!" and body[j + 1 : j + 2] != "="):
+                cut = j
+                if d == ":":
+                    quote = ""
+            j += 1
+        if j >= n:
+            return False
+        expr = body[i + 1 : cut if cut >= 0 else j].strip()
+        rest = body[cut:j] if cut >= 0 else ""
+        if expr.endswith("=") and expr[-2:-1] not in "=!<>":
+            expr = expr[:-1]
+        if rest.startswith("!"):
+            if not re.match(r"![sra](?::|$)", rest):
+                return False
+            rest = rest[2:]
+        if rest and not _format_ok(rest[1:], True):
+            return False
+        try:
+            p = Line(LEX.lex(expr.replace("\n", " ")))
+            p.end(p.yielded(0))
+        except Bad:
+            return False
+        i = j + 1
+    return True
+
+
 def _classify(t: str) -> str | None:
     c = t[0]
     if c == "\n":
@@ -24,7 +79,14 @@ def _classify(t: str) -> str | None:
     if c == "\\" or c == "#":
         return ""
     if c in "\"'" or (t[-1] in "\"'" and len(t) > 1):
-        return '"' if len(t) > 1 else BAD
+        if len(t) < 2:
+            return BAD
+        prefix = re.match(r"\w*", t)[0].lower()
+        if "f" in prefix and "{" in t or "f" in prefix and "}" in t:
+            body = t[len(prefix) :]
+            body = body[3:-3] if body[:3] in ('"""', "'''") else body[1:-1]
+            return '"' if _format_ok(body) else BAD
+        return '"'
     if c.isdigit() or (c == "." and len(t) > 1 and t != "..."):
         return "0" if re.fullmatch(_NUMBER, t) and not re.fullmatch(r"0[\d_]*[1-9][\d_]*", t) else BAD
     return None
@@ -572,6 +634,16 @@ FOLLOWS = {  # clause -> what it may follow at its depth
 _BRACKETS = str.maketrans("", "", "".join(chr(c) for c in range(0x100, 0x180)) + 'a0",.:;=+-*/%&|^~@<>!')
 
 
+def _split_guard(kinds: str) -> tuple[str, str | None]:
+    """A case pattern and its guard: cut at the first ``if`` outside brackets."""
+    depth = 0
+    for i, c in enumerate(kinds):
+        depth += (c in "([{") - (c in ")]}")
+        if c == K["if"] and not depth:
+            return kinds[:i], kinds[i + 1 :]
+    return kinds, None
+
+
 def _line_kind(kinds: str, words: tuple[str, ...]) -> int:
     """What a logical line is. Soft keywords look at the first word of the line."""
     known = SIMPLE_OK.get(kinds)
@@ -582,18 +654,18 @@ def _line_kind(kinds: str, words: tuple[str, ...]) -> int:
     except Bad:
         # match and case heads and type aliases begin with what else is a name
         if kinds[0] == "a" and kinds[-1] == ":" and len(kinds) > 2:
-            p = Line(kinds[1:-1].replace(K["if"], ",") if words == ("case",) else kinds[1:-1])
+            body = kinds[1:-1]
             if words[:1] == ("match",):
+                p = Line(body)
                 p.end(p.star_list(0))
                 return HEAD + ord("m")
             if words[:1] == ("case",):
-                p = Line(kinds[1:-1])
-                i = p.star_list(0)
-                if p.s[i] == K["if"]:
-                    i = p.named(i + 1)
-                elif p.s[i] == K["as"]:
-                    i = p.need(i + 1, "a")
-                p.end(i)
+                pattern, guard = _split_guard(body)
+                p = Line(pattern.replace(K["as"] + "a", ""))
+                p.end(p.star_list(0))
+                if guard is not None:
+                    p = Line(guard)
+                    p.end(p.named(0))
                 return HEAD + ord("c")
         if kinds[:2] == "aa" and words[:1] == ("type",):
             p = Line(kinds)

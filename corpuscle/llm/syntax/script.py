@@ -400,6 +400,8 @@ class Script(Parser):
         i += 1
         if s[i] in IDENT and s[i] != K["implements"]:
             i += 1
+        elif s[i - 2] != K["default"] or i < 2:  # only an export by default may have no name
+            raise Bad(i)
         return self.class_rest(i)
 
     def class_rest(self, i: int) -> int:
