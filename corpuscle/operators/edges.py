@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..session import ext_of, table
+from ..session import ext_of, materialise, table
 from . import corpus
 
 # fixed values: order in which a script import is tried
@@ -24,7 +24,7 @@ STATEMENT = {  # lines that import, by family: the specifier is the first group
     "python": r"^\s*(?:from\s+([.\w]+)\s+import\b|import\s+([\w.]+))",
     "go": r"""^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"]+)"\s*$""",
     "java": r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;",
-    "rust": r"^\s*(?:pub\s+)?(?:use\s+([\w:]+)|mod\s+(\w+)\s*;)",
+    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:use\s+([\w:]+)|mod\s+(\w+)\s*;)",
 }
 
 
@@ -43,7 +43,7 @@ def statements(files: DataFrame) -> DataFrame:
     names = F.regexp_extract("line", r"\{([^}]*)\}", 1)
     listed = F.when(F.col("family") == "python", F.regexp_extract("line", r"\bimport\s+\(?([\w\s,.]+)", 1)).otherwise(names)
     parts = F.filter(F.transform(F.split(listed, ","), lambda s: F.trim(F.regexp_replace(s, r"\s+as\s+.*", ""))), lambda s: s != "")
-    return out.select("ws", "rel", "ln", "family", "spec", F.col("line").rlike(r"^\s*export\b").alias("reexport"), parts.alias("names"), F.col("line").rlike(r"^\s*mod\b").alias("is_mod"))
+    return out.select("ws", "rel", "ln", "family", "spec", F.col("line").rlike(r"^\s*export\b").alias("reexport"), parts.alias("names"), F.col("line").rlike(r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\b").alias("is_mod"))
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -205,12 +205,19 @@ def resolve_include(st_c: DataFrame, files: DataFrame) -> DataFrame:
     return _first(j.select(*KEYS, c.alias("c")), files, KEYS)
 
 
-def edges(files: DataFrame, configs: DataFrame | None = None, modules: DataFrame | None = None) -> DataFrame:
-    """(ws, rel, ln, spec, to_rel, reexport, names) of every import that resolves."""
-    st = statements(files)
-    parts = [resolve_script(st, files, configs), resolve_python(st, files), resolve_java(st, files), resolve_rust(st, files)]
-    if modules is not None:
-        parts.append(resolve_go(st, files, modules))
+FAMILIES = ("script", "python", "java", "rust", "go")
+
+
+def edges(files: DataFrame, configs: DataFrame | None = None, modules: DataFrame | None = None, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """(ws, rel, ln, spec, to_rel, reexport, names) of every import that resolves. Go needs ``modules``."""
+    # the resolvers all read the statements, so these are read from content once
+    st = materialise(statements(files), "imports")
+    names = files.select("ws", "rel")
+    make = {
+        "script": lambda: resolve_script(st, names, configs), "python": lambda: resolve_python(st, names), "java": lambda: resolve_java(st, files),
+        "rust": lambda: resolve_rust(st, names), "go": lambda: resolve_go(st, names, modules),
+    }
+    parts = [make[f]() for f in families if f != "go" or modules is not None]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

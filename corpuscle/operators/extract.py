@@ -56,7 +56,7 @@ SPECS = {
     "java": Spec(rf"{_COMMENT}|\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|{_QUOTED}", (
         ("class", r"^[ \t]*+(?:(?:public|private|protected|static|final|abstract|sealed)\s++)*+(?:class|record)\s++(?P<n>\w++)"), ("interface", r"^[ \t]*+(?:(?:public|private|protected|static)\s++)*+@?+interface\s++(?P<n>\w++)"),
         ("enum", r"^[ \t]*+(?:(?:public|private|protected|static)\s++)*+enum\s++(?P<n>\w++)"),
-        ("method", rf"^[ \t]++(?:(?:public|private|protected|static|final|abstract|synchronized|default)\s++)*+(?!(?:return|new|else|throw|if|for|while|switch|catch)\b)(?:<[^;{{}}()]*?>\s*+)?+[\w.$]++(?:\s*+<[^;{{}}()=]*+>)?+(?:\s*+\[\s*+\])*+\s++(?P<n>\w++)\s*+{_PAREN}\s*+(?:throws\b[\w.,\s]++)?+[{{;]"),
+        ("method", rf"^[ \t]++(?:(?:public|private|protected|static|final|abstract|synchronized|default)\s++)*+(?!(?:return|new|else|throw|if|for|while|switch|catch)\b)(?:<[^;{{}}()]*?>\s*+)?+[\w.$]++(?:\s*+<(?:[^;{{}}()=<>]++|<(?:[^;{{}}()=<>]++|<[^;{{}}()=<>]*+>)*+>)*+>)?+(?:\s*+\[\s*+\])*+\s++(?P<n>\w++)\s*+{_PAREN}\s*+(?:throws\b[\w.,\s]++)?+[{{;]"),
         ("constant", r"^[ \t]++(?:(?:public|private|protected)\s++)?+static\s++final\s++[\w<>\[\], .]+?\s(?P<n>[A-Z][A-Z0-9_]*+)\s*+="),
     ), r"\bpublic\b"),
     "rust": Spec(rf"{_COMMENT}|r(?P<h>#*+)\".*?\"(?P=h)|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\\n]|\\[^\n]{{1,10}}?)'", (

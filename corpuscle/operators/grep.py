@@ -138,7 +138,7 @@ def references(files: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
     hits = hits.join(declared, ["ws", "rel", "ln"], "left_anti")
     defines = own.select("ws", F.col("file").alias("rel")).distinct().withColumn("local", F.lit(True))
     word = rf"(?<![\w$]){name}(?![\w$])"
-    imports = text.with_lines(candidates(files, match.compile_matcher(name, case=True))).where(F.col("line").rlike(r"^\s*(?:import|from|use|export)\b") & F.col("line").rlike(word))
+    imports = text.with_lines(candidates(files, match.compile_matcher(name, case=True))).where(F.col("line").rlike(r"^\s*(?:import|from|use)\b|^\s*export\b.*\bfrom\b") & F.col("line").rlike(word))
     imports = imports.select("ws", "rel").distinct().withColumn("imported", F.lit(True))
     o = owners(hits, symbols.select("ws", "file", "name", "path", "line_start", "line_end", "ord").distinct())
     o = o.join(defines, ["ws", "rel"], "left").join(imports, ["ws", "rel"], "left")
@@ -234,7 +234,7 @@ ORACLE = {
     "refs_owner": f"""WITH {_L}, S AS (SELECT DISTINCT ws, file, name, path, line_start, line_end, ord FROM symbols),
  H AS (SELECT ws, rel, ln, line FROM L WHERE contains(line, 'collect') AND NOT EXISTS (SELECT 1 FROM S WHERE S.ws = L.ws AND S.file = L.rel AND S.name = 'collect' AND S.line_start = L.ln)),
  O AS (SELECT H.ws, H.rel, H.ln, H.line, min({{'span': line_end - line_start, 'line_start': line_start, 'ord': ord, 'path': path}}) AS o FROM H LEFT JOIN S ON S.ws = H.ws AND S.file = H.rel AND H.ln BETWEEN line_start AND line_end GROUP BY ALL),
- I AS (SELECT DISTINCT ws, rel FROM L WHERE regexp_matches(line, '^\\s*(import|from|use|export)\\b') AND regexp_matches(line, '(^|[^\\w$])collect([^\\w$]|$)'))
+ I AS (SELECT DISTINCT ws, rel FROM L WHERE regexp_matches(line, '^\\s*(import|from|use)\\b|^\\s*export\\b.*\\bfrom\\b') AND regexp_matches(line, '(^|[^\\w$])collect([^\\w$]|$)'))
  SELECT O.ws, O.rel, O.ln, coalesce(O.o.path, '(top level)') AS owner, CASE WHEN EXISTS (SELECT 1 FROM S WHERE S.ws = O.ws AND S.file = O.rel AND S.name = 'collect') THEN 'local' WHEN I.rel IS NOT NULL THEN 'imported' ELSE 'textual' END AS label,
  regexp_matches(O.line, '(^|[^\\w$])collect\\s*\\(') AS call, left(trim(O.line, ' '), 160) AS text FROM O LEFT JOIN I ON I.ws = O.ws AND I.rel = O.rel""",
     "grep_documents": """WITH D AS (SELECT doc_id, string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, -1) ELSE text END, chr(10)) AS a FROM documents WHERE len(text) > 0),
