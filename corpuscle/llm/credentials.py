@@ -95,12 +95,6 @@ def automaton():
     return a
 
 
-@functools.cache
-def _both():
-    """'bearer ' is a login anchor and 'bearer' a name; the automaton reports both, at their own ends."""
-    return automaton()
-
-
 def anchors(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str, str]]:
     """(start, family, word) of every anchor, each once, in order."""
     lower = text.lower()
@@ -245,7 +239,8 @@ def find(text: str, rel: str) -> list[tuple[int, int, str, int]]:
                 out.setdefault(s, (kind, group))
             group += 1
 
-    for at, family, word in anchors(text):
+    found = anchors(text)
+    for at, family, word in found:
         if family == "armor":
             _armor(text, at, add)
         elif family == "token":
@@ -256,7 +251,7 @@ def find(text: str, rel: str) -> list[tuple[int, int, str, int]]:
             _login(t, at, add)
         elif family == "account":
             _account(t, at, add)
-    for at, family, word in anchors(text):
+    for at, family, word in found:
         if family == "name":
             _named(t, at, word, add)
     return sorted((a, b, k, g) for (a, b), (k, g) in out.items())
@@ -282,7 +277,7 @@ def _armor(text: str, at: int, add) -> None:
 
 def _token(t: Text, at: int, word: str, add) -> None:
     text = t.text
-    if at and (text[at - 1].isalnum() or text[at - 1] in "_+/" and not (text[at - 1] == "/" and False)):
+    if at and (text[at - 1].isalnum() or text[at - 1] in "_+/"):
         if not (text[at - 1] in "nrt" and at > 1 and text[at - 2] == "\\"):
             return
     grammar = TOKENS[word]
@@ -451,7 +446,7 @@ def _named(t: Text, at: int, word: str, add) -> None:
                 if t.json:
                     return  # a value without quotes is no string there
                 b = _BARE_WIDE.match(text, v)
-                if b and _MARKUP.match(b[0]):
+                if b and m["op"] == ":" and _MARKUP.match(b[0]):
                     return
                 rest = text[b.end() : text.find("\n", b.end()) if "\n" in text[b.end() :] else len(text)].strip() if b else ""
                 if b and _is_value(b[0].rstrip(",;")) and (not rest or rest.startswith(("#", ";", "//", ",", "}")) or secret_like(b[0])) and not re.match(r"^[\w.]+\(", b[0]) and not b[0].rstrip(",").isdigit():

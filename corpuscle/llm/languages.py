@@ -335,9 +335,9 @@ def sample_sentences(documents: DataFrame, per_language: int = 120, most_chars:
         return []
     share = F.lit(0)
     scale = 1 << 20
-    for label, _ in counts:
-        if code := label_code(label):
-            share = F.when(F.col("lang") == label, F.lit(int(scale * min(1.0, per_language / total[code])))).otherwise(share)
+    for code in sorted(total):
+        spellings = [label for label, _ in counts if label_code(label) == code]
+        share = F.when(F.col("lang").isin(spellings), F.lit(int(scale * min(1.0, per_language / total[code])))).otherwise(share)
     picked = documents.where(F.col("text").isNotNull()).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(scale))).where(F.col("_h") < share)
     rows = picked.select("lang", F.substring("text", 1, most_chars).alias("text"), "_h").orderBy("_h", "lang").limit(per_language * 3 * len(total)).collect()
     return [(s, code) for r in rows if (code := label_code(r["lang"])) for _, _, s in sentences(r["text"])[:12]]

@@ -24,8 +24,6 @@ from ..session import bounded_rows, materialise
 from . import bpe
 from .split import read_limits
 
-PLACED = "container_id bigint"
-
 
 def fullest(sizes: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
     """The combination of the largest sum within ``room``; each size at most as often as counted. Sizes descend."""
@@ -87,9 +85,7 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     the executors is the list of combinations, bounded by the capacity alone.
     """
     spark = sizes.sparkSession
-    n = F.col(size)
-    full = F.floor(F.greatest(n - 1, F.lit(0)) / capacity)
-    items = sizes.select(F.col(key), F.coalesce(n, F.lit(0)).cast("bigint").alias("_n"))
+    items = sizes.select(F.col(key), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_n"))
     n = F.col("_n")
     full = F.floor(F.greatest(n - 1, F.lit(0)) / capacity)  # pieces before the rest; 0 for what is not split
     items = items.select(key, "_n", full.alias("_full"), (n - full * capacity).alias("_rest"), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_b"))

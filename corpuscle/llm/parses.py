@@ -69,8 +69,6 @@ def syntax_errors(lang: str, text: str) -> list[tuple[int, str]]:
             break
         except RecursionError:
             sys.setrecursionlimit(sys.getrecursionlimit() * 10)
-        finally:
-            pass
     sys.setrecursionlimit(depth)
     if errors and lang in ("python", "json") and not _confirmed(lang, text):
         return []

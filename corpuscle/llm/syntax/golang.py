@@ -47,7 +47,6 @@ BINARY = {K["||"]: 1, K["&&"]: 2, K["=="]: 3, K["!="]: 3, "<": 3, K["<="]: 3, ">
 UNARY = frozenset("+-!^*&") | {K["<-"]}
 TYPE_START = frozenset("a[*(") | LEX.set("func struct interface map chan <-")
 SEEN: set[str] = set()
-SEEN_HEAD: set[str] = set()
 
 
 class Go(Parser):
@@ -415,7 +414,7 @@ class Go(Parser):
 
     def case_list(self, i: int) -> int:
         while True:
-            i = self.type_or_expr(i)
+            i = self.expr(i)
             if self.s[i] != ",":
                 return i
             i += 1
@@ -476,12 +475,6 @@ class Go(Parser):
             return i
         return self.primary(i)
 
-    def type_or_expr(self, i: int) -> int:
-        s = self.s
-        if s[i] in "[" or s[i] in (K["map"], K["chan"], K["struct"], K["interface"]) or s[i] == K["func"]:
-            return self.expr(i)
-        return self.expr(i)
-
     def primary(self, i: int) -> int:
         s = self.s
         c = s[i]
@@ -494,7 +487,7 @@ class Go(Parser):
             i += 1
         elif c == "(":
             old, self.no_lit = self.no_lit, False
-            i = self.need(self.type_or_expr(i + 1), ")")
+            i = self.need(self.expr(i + 1), ")")
             self.no_lit = old
             if self.last == "call":
                 self.last = "value"
@@ -537,7 +530,7 @@ class Go(Parser):
         old, self.no_lit = self.no_lit, False
         i += 1
         while s[i] != ")":
-            i = self.type_or_expr(i)
+            i = self.expr(i)
             if s[i] == K["..."]:
                 i += 1
             if s[i] != ",":
@@ -553,9 +546,9 @@ class Go(Parser):
         if s[i] == "]":
             raise Bad(i)
         if s[i] != ":":
-            i = self.type_or_expr(i)
+            i = self.expr(i)
             while s[i] == "," and s[i + 1] != "]":
-                i = self.type_or_expr(i + 1)
+                i = self.expr(i + 1)
         for _ in range(2):
             if s[i] == ":":
                 i += 1
@@ -585,8 +578,7 @@ class Go(Parser):
 
 def check(text: str) -> list[tuple[int, str]]:
     kinds = LEX.lex(text)
-    joined = _SEMI.sub(lambda m: ";" * 1 + "" if m[0] else ";", kinds)
-    joined = joined.replace("\n", "")
+    joined = _SEMI.sub(";", kinds).replace("\n", "")
     p = Go(joined)
     p.file()
     if not p.errors:

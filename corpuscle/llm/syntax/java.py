@@ -44,7 +44,6 @@ MODIFIERS = LEX.set("public protected private static abstract final native synch
 ASSIGN = frozenset("=") | LEX.set(">>>= <<= >>= += -= *= /= %= &= |= ^=")
 BINARY = {K["||"]: 1, K["&&"]: 2, "|": 3, "^": 4, "&": 5, K["=="]: 6, K["!="]: 6, "<": 7, ">": 7, K["<="]: 7, K[">="]: 7, K["instanceof"]: 7, K["<<"]: 8, "+": 9, "-": 9, "*": 10, "/": 10, "%": 10}
 SEEN: set[str] = set()
-SEEN_MEMBER: set[str] = set()
 START_OF_OPERAND = IDENT | frozenset('("0!~') | LEX.set("this super new true false null switch") | PRIMITIVE
 
 

@@ -237,10 +237,9 @@ class Line(Parser):
                 if paren and s[i] == ")":
                     break
             return self.need(i, ")") if paren else i
-        i0 = i
         i = self.yielded(i)
         if s[i] == ":":
-            if not self.target or s[i0] == "(" and False:
+            if not self.target:
                 raise Bad(i, "annotated no target")
             i = self.expr(i + 1)
             return self.yielded(i + 1) if s[i] == "=" else i
@@ -631,8 +630,6 @@ FOLLOWS = {  # clause -> what it may follow at its depth
     "elif": ("if", "elif"), "else": ("if", "elif", "for", "while", "except", "try"), "except": ("try", "except"),
     "finally": ("try", "except", "else"),
 }
-_BRACKETS = str.maketrans("", "", "".join(chr(c) for c in range(0x100, 0x180)) + 'a0",.:;=+-*/%&|^~@<>!')
-
 
 def _split_guard(kinds: str) -> tuple[str, str | None]:
     """A case pattern and its guard: cut at the first ``if`` outside brackets."""
@@ -682,12 +679,10 @@ def check(text: str) -> list[tuple[int, str]]:
     """Errors as (line, cause), in order."""
     kinds = LEX.lex("\n" + text)
     raw = kinds.split("\n")[1:]
-    offsets = None
     errors: list[tuple[int, str]] = []
     indents, heads = [0], [""]  # depth stack; the last clause at each depth
     expect, decorated = "", False
     at, n = 0, len(raw)
-    pos = 0  # kinds consumed, to find the source line of an error
     starts = None
 
     def fail(index: int, what: str) -> None:

@@ -50,7 +50,6 @@ BINARY = {"*": 10, "/": 10, "%": 10, "+": 9, "-": 9, "<": 5, ">": 5, "&": 7, "^"
 COMPARE = {"<", ">", K["=="], K["!="], K["<="]}
 BLOCK_LIKE = LEX.set("if match while for loop unsafe") | {"{"}
 SEEN: set[str] = set()
-SEEN_ITEM: set[str] = set()
 NO_OPERAND = frozenset(";),]}\0=") | {K["=>"]}
 
 
@@ -788,12 +787,10 @@ class Rust(Parser):
             return self.unary(i + 1)
         if c == "&":
             i += 1
-            if s[i] == "a" and s[i + 1] in (K["const"], K["mut"]) and False:
-                i += 2
             if s[i] == K["mut"]:
                 i += 1
             return self.unary(i)
-        if c in ("|", K["move"]) or c in (K["return"], K["break"]) :
+        if c in ("|", K["move"], K["return"], K["break"]):
             return self.assign(i)
         return self.suffixes(self.primary(i))
 

@@ -12,7 +12,7 @@ _QUOTED = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
 _REGEX = r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*"
 _BEFORE = r"(?:(?<=[=(,:\[!&|?{};+*%<>~^\n-])|(?<=[=(,:\[!&|?{};+*%<>~^-] )|(?<=return )|(?<=typeof )|(?<=case )|(?<=\A))"
 _PLAIN_TEMPLATE = r"`(?:[^`\\$]|\\.|\$(?!\{))*`"
-_HEAD, _SEP = "", ""
+_HEAD = "\ue010"  # begins a template with substitutions
 
 
 def _classify(t: str) -> str | None:
@@ -68,7 +68,6 @@ _NO_END = re.compile(
     "|\n+(?=[" + re.escape("".join(sorted((ASSIGN | set(BINARY) | set("()[],;:?.}`") | {K["=>"], K["?."], END}) - {"+", "-"}))) + "])|\n+(?=[+-])|\\A\n+"
 )
 SEEN: dict[bool, set[str]] = {False: set(), True: set()}
-SEEN_MEMBER: set[str] = set()
 
 
 class Script(Parser):
@@ -1268,8 +1267,6 @@ def check(text: str, ts: bool) -> list[tuple[int, str]]:
         text = templates(text)
     kinds = LEX.lex(text)
     p = Script(kinds, ts)
-    if not ts and BAD not in kinds and kinds.count("(") == kinds.count(")"):
-        pass
     p.top(p.statement)
     if not p.errors:
         return []
