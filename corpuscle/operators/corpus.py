@@ -6,7 +6,7 @@ because a distinct over whole contents would shuffle all text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import match, paths, text
@@ -22,6 +22,11 @@ def content(files: DataFrame) -> DataFrame:
     return searchable(files).select("ws", "rel", "content")
 
 
+def searchable_or_plain(files: DataFrame) -> DataFrame:
+    """Content of small settings files that a walk lists but whose extension names no text."""
+    return files.where(~paths.is_secret(F.col("rel")) & F.col("content").isNotNull()).select("ws", "rel", "content")
+
+
 def file_rows(files: DataFrame) -> DataFrame:
     """One row per file without its content (never read from the scan): names, sizes and flags."""
     return files.select("ws", "rel", "hash", "size", "mtime", "lang", "lines", "parsed", "indexed", "reason", F.coalesce(F.size("symbols"), F.lit(0)).alias("n_symbols")).dropDuplicates(["ws", "rel"])
@@ -111,6 +116,14 @@ def addressing(spark: SparkSession, sf: str) -> DataFrame:
     return both.join(best, ["q", "tier"]).groupBy("q", "tier").agg(F.count("*").alias("candidates"))
 
 
+def duplicate_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols whose name occurs more than once in their file, with the ordinal that tells them apart."""
+    s = table(spark, sf, "symbols").select("ws", "file", "name", "path", "line_start").distinct()
+    w = Window.partitionBy("ws", "file", "name")
+    n = s.withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy("line_start", "path")))
+    return n.where("n > 1").select("ws", "file", "line_start", F.concat("name", F.lit(" §"), F.col("i").cast("string")).alias("piece"))
+
+
 def tokens_df(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences and documents of every index term of all documents."""
     d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.explode(match.term_array(F.col("text"))).alias("term"))
@@ -120,7 +133,7 @@ def tokens_df(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (files_listing, stats_by_lang, structure_dirs, structure_prefix, largest_symbols, symbols_table, secret_files, file_hashes, eol_stats, walk_listing, glob_paths, addressing, tokens_df)
+    for f in (files_listing, stats_by_lang, structure_dirs, structure_prefix, largest_symbols, symbols_table, secret_files, file_hashes, eol_stats, walk_listing, glob_paths, addressing, duplicate_names, tokens_df)
 }
 
 EXT_SQL = "lower(regexp_extract(rel, '(\\.[^./\\\\]+)$', 1))"
@@ -128,7 +141,7 @@ LANG_SQL = "CASE " + " ".join(f"WHEN {EXT_SQL} IN ({', '.join(repr(e) for e in e
 DIR_SQL = "CASE WHEN rel NOT LIKE '%/%' THEN '.' WHEN regexp_matches(rel, '^/[^/]*$') THEN '/' ELSE regexp_extract(rel, '^(.*)/[^/]*$', 1) END"
 SECRET_SQL = "(" + " OR ".join("regexp_matches(replace(rel, '\\', '/'), '" + p + "', 'i')" for p in paths.SECRET_PATTERNS) + ")"
 FILES_SQL = f"""F AS (SELECT ws, rel, any_value(hash) AS hash, any_value(size) AS size, any_value(lines) AS lines, any_value(parsed) AS parsed,
- any_value(indexed) AS indexed, any_value(coalesce(len(symbols), 0)) AS n_symbols, any_value({LANG_SQL}) AS lang, any_value({DIR_SQL}) AS dir FROM files GROUP BY ws, rel)"""
+ any_value(indexed) AS indexed, any_value(CAST(coalesce(len(symbols), 0) AS INTEGER)) AS n_symbols, any_value({LANG_SQL}) AS lang, any_value({DIR_SQL}) AS dir FROM files GROUP BY ws, rel)"""
 SEARCHABLE_SQL = f"C AS (SELECT DISTINCT ws, rel, content FROM files WHERE coalesce(indexed, true) AND NOT {SECRET_SQL} AND content IS NOT NULL)"
 LINES_SQL = SEARCHABLE_SQL + """,
  B AS (SELECT ws, rel, string_split(CASE WHEN content LIKE '%' || chr(10) THEN left(content, -1) ELSE content END, chr(10)) AS a FROM C WHERE len(content) > 0),
@@ -162,5 +175,8 @@ ORACLE = {
  a AS (SELECT name AS q FROM s WHERE name LIKE 'rank%' UNION SELECT split_part(path, '.', 1) FROM s WHERE name LIKE 'rank%'),
  b AS (SELECT q, ws, file, path, min(CASE WHEN path = q THEN 0 ELSE 2 END) AS tier FROM s JOIN a ON path = q OR name = q GROUP BY ALL),
  m AS (SELECT q, min(tier) AS tier FROM b GROUP BY q) SELECT b.q, CAST(b.tier AS INTEGER) AS tier, count(*) AS candidates FROM b JOIN m ON b.q = m.q AND b.tier = m.tier GROUP BY ALL""",
+    "duplicate_names": """WITH s AS (SELECT DISTINCT ws, file, name, path, line_start FROM symbols),
+ n AS (SELECT *, count(*) OVER (PARTITION BY ws, file, name) AS n, row_number() OVER (PARTITION BY ws, file, name ORDER BY line_start, path) AS i FROM s)
+ SELECT ws, file, line_start, name || ' §' || i AS piece FROM n WHERE n > 1""",
     "tokens_df": f"WITH {TERMS_SQL} SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM K GROUP BY term",
 }

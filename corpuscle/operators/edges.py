@@ -205,6 +205,65 @@ def resolve_include(st_c: DataFrame, files: DataFrame) -> DataFrame:
     return _first(j.select(*KEYS, c.alias("c")), files, KEYS)
 
 
+def configs_of(files: DataFrame) -> DataFrame:
+    """Path aliases of every tsconfig.json as rows (ws, dir, pos, prefix, suffix, target), of the nearest kind for
+    ``resolve_script``. ``extends`` is followed one hop to another tsconfig.json of the corpus; ``baseUrl`` alone lets any
+    bare name resolve below it."""
+    import pandas as pd
+
+    def parse(batches):
+        for pdf in batches:
+            rows = []
+            for ws, rel, source in pdf.itertuples(index=False):
+                c = text.jsonc(source)
+                c = c if isinstance(c, dict) else {}
+                o = c.get("compilerOptions") or {}
+                d = rel.rpartition("/")[0]
+                own = [(k, v) for k, v in (o.get("paths") or {}).items() if isinstance(v, list)]
+                base = o.get("baseUrl")
+                ext = c.get("extends") if isinstance(c.get("extends"), str) and c["extends"].startswith(".") else None
+                pos = 0
+                for pattern, targets in own:
+                    pre, star, suf = pattern.partition("*")
+                    for t in targets:
+                        rows.append((ws, d, pos, pre, suf if star else "", "/".join(x for x in ((base or "").removeprefix("./").strip("/"), t.removeprefix("./")) if x and x != "."), ext))
+                        pos += 1
+                if base is not None:
+                    b = base.removeprefix("./").strip("/")
+                    rows.append((ws, d, pos, "", "", f"{b}/*" if b and b != "." else "*", ext))
+                elif not own and ext:
+                    rows.append((ws, d, None, None, None, None, ext))
+            yield pd.DataFrame(rows, columns=["ws", "dir", "pos", "prefix", "suffix", "target", "ext"]).astype({"pos": "Int32"})
+
+    raw = corpus.content(files).where(paths.basename(F.col("rel")) == "tsconfig.json")
+    rows = raw.mapInPandas(parse, "ws string, dir string, pos int, prefix string, suffix string, target string, ext string")
+    own = rows.where("pos IS NOT NULL").drop("ext")
+    # a file without rules of its own takes those of the one it extends, targets moved to where that stands
+    bare = rows.where("pos IS NULL").select("ws", "dir", paths.norm(F.concat_ws("/", F.nullif("dir", F.lit("")), F.regexp_replace("ext", "(?:/?tsconfig)?(?:\\.json)?$", ""))).alias("from"))
+    depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
+    taken = bare.join(own.withColumnRenamed("dir", "from"), ["ws", "from"])
+    taken = taken.select("ws", "dir", "pos", "prefix", "suffix", F.concat(F.repeat(F.lit("../"), depth), F.when(F.col("from") == "", F.lit("")).otherwise(F.concat("from", F.lit("/"))), "target").alias("target"))
+    return own.unionByName(taken)
+
+
+def go_modules_of(files: DataFrame) -> DataFrame:
+    """(ws, dir, module) of every go.mod."""
+    c = corpus.searchable_or_plain(files).where(paths.basename(F.col("rel")) == "go.mod")
+    name = F.regexp_extract("content", r"(?m)^\s*module\s+(\S+)", 1)
+    return c.select("ws", F.regexp_replace(paths.dirname(F.col("rel")), r"^\.$", "").alias("dir"), name.alias("module")).where("module <> ''")
+
+
+def module_kind(files: DataFrame) -> DataFrame:
+    """(ws, rel, kind) of script files: by extension, else by the type of the nearest package.json, else ambiguous."""
+    ext = ext_of(F.col("rel"))
+    scripts = files.where(ext.isin(SCRIPT_EXT)).select("ws", "rel").distinct()
+    m = corpus.content(files).where(paths.basename(F.col("rel")) == "package.json")
+    types = m.select("ws", F.regexp_replace(paths.dirname(F.col("rel")), r"^\.$", "").alias("dir"), F.coalesce(F.get_json_object("content", "$.type"), F.lit("commonjs")).alias("type"))
+    near = scripts.select("ws", "rel", F.explode(ancestors(F.col("rel"))).alias("dir")).join(types, ["ws", "dir"]).groupBy("ws", "rel").agg(F.max_by("type", F.length("dir")).alias("type"))
+    kind = F.when(ext.isin(".mjs", ".mts"), "module").when(ext.isin(".cjs", ".cts"), "commonjs").otherwise(F.coalesce("type", F.lit("ambiguous")))
+    return scripts.join(near, ["ws", "rel"], "left").select("ws", "rel", kind.alias("kind"))
+
+
 FAMILIES = ("script", "python", "java", "rust", "go")
 
 
@@ -267,9 +326,14 @@ def import_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return i.join(there, ["ws", "dir"], "left").select("ws", "rel", "spec", "line", "dir", F.coalesce("files", F.lit(0)).alias("files"))
 
 
-QUERIES = {f.__name__: f for f in (imports_table, imports_by_spec, import_statements, edges_resolved, java_class_map, import_candidates)}
+def module_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return module_kind(table(spark, sf, "files")).groupBy("ws", "kind").agg(F.count("*").alias("files"))
+
+
+QUERIES = {f.__name__: f for f in (module_kinds, imports_table, imports_by_spec, import_statements, edges_resolved, java_class_map, import_candidates)}
 _I = "I AS (SELECT DISTINCT ws, rel, i.spec AS spec, i.line AS line, i.kind AS kind FROM (SELECT ws, rel, unnest(imports) AS i FROM files))"
 ORACLE = {
+    "module_kinds": "SELECT ws, CASE WHEN rel LIKE '%.mjs' THEN 'module' ELSE 'ambiguous' END AS kind, count(DISTINCT rel) AS files FROM files WHERE regexp_matches(rel, '\\.(m?js|ts)$') GROUP BY 1, 2",
     "imports_table": f"WITH {_I} SELECT * FROM I",
     "imports_by_spec": f"WITH {_I} SELECT spec, count(*) AS imports, count(DISTINCT ws) AS workspaces FROM I GROUP BY spec",
     "java_class_map": f"""WITH {corpus.SEARCHABLE_SQL}, J AS (SELECT ws, rel, content, regexp_extract(content, '(?m)^\\s*package\\s+([\\w.]+)\\s*;', 1) AS pkg FROM C WHERE rel LIKE '%.java'),

@@ -64,7 +64,21 @@ SPECS = {
         ("module", r"^[ \t]*+(?:pub(?:\([^)]*+\))?+\s++)?+mod\s++(?P<n>\w++)\s*+\{"), ("type", r"^[ \t]*+(?:pub(?:\([^)]*+\))?+\s++)?+type\s++(?P<n>\w++)"),
         ("function", r"^[ \t]*+(?:pub(?:\([^)]*+\))?+\s++)?+(?:(?:const|async|unsafe)\s++)*+fn\s++(?P<n>\w++)"), ("constant", r"^[ \t]*+(?:pub(?:\([^)]*+\))?+\s++)?+(?:const|static)\s++(?P<n>\w++)\s*+:"),
     ), r"\bpub\b"),
+    "php": Spec(rf"{_COMMENT}|\#(?!\[)[^\n]*+|{_QUOTED}", (
+        ("class", r"^[ \t]*+(?:(?:abstract|final|readonly)\s++)*+(?:class|trait)\s++(?P<n>\w++)"), ("interface", r"^[ \t]*+interface\s++(?P<n>\w++)"), ("enum", r"^[ \t]*+enum\s++(?P<n>\w++)"),
+        ("function", r"^[ \t]*+(?:(?:public|private|protected|static|abstract|final)\s++)*+function\s++&?+(?P<n>\w++)"), ("constant", r"^[ \t]*+(?:(?:public|private|protected|final)\s++)*+const\s++(?P<n>\w++)\s*+="),
+    ), r"^(?!.*\b(?:private|protected)\b)"),
+    "csharp": Spec(rf"{_COMMENT}|@\"(?:[^\"]|\"\")*+\"|{_QUOTED}", (
+        ("module", r"^[ \t]*+namespace\s++(?P<n>[\w.]++)"), ("class", r"^[ \t]*+(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly)\s++)*+(?:class|struct|record)\s++(?P<n>\w++)"),
+        ("interface", r"^[ \t]*+(?:(?:public|internal|partial)\s++)*+interface\s++(?P<n>\w++)"), ("enum", r"^[ \t]*+(?:(?:public|internal|private)\s++)*+enum\s++(?P<n>\w++)"),
+        ("method", rf"^[ \t]++(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed|partial)\s++)++(?:[\w.]++(?:\s*+<(?:[^;{{}}()=<>]++|<[^;{{}}()=<>]*+>)*+>)?+(?:\[\])?+\??+\s++)?+(?P<n>\w++)\s*+(?:<[^>]*+>)?+\s*+{_PAREN}\s*+(?:where\b[^{{;]++)?+(?:[{{;]|=>)"),
+    ), r"\bpublic\b"),
+    "c": Spec(rf"{_COMMENT}|{_QUOTED}", (
+        ("class", r"^(?:typedef\s++)?+(?:struct|union|class)\s++(?P<n>\w++)[^;{()]*+\{"), ("enum", r"^(?:typedef\s++)?+enum\s++(?:class\s++)?+(?P<n>\w++)[^;{]*+\{"), ("module", r"^[ \t]*+namespace\s++(?P<n>[\w:]++)\s*+\{"),
+        ("function", rf"^(?!(?:typedef|return|else|struct|enum|union|class|using|namespace)\b)(?:[\w:<>,~*&]++[ \t*&]++)*+(?P<n>[\w:~]++)\s*+{_PAREN}\s*+(?:const\s*+|noexcept\s*+|override\s*+)*+(?:\n[ \t]*+)?+\{{"), ("constant", r"^\#define\s++(?P<n>[A-Z_][A-Z0-9_]*+)\s"),
+    ), r"^(?!static\b)"),
 }
+SPECS["cpp"] = SPECS["c"]
 _COMPILED = {k: (re.compile(s.skip, re.S), [(kind, re.compile(p, re.M)) for kind, p in s.patterns], s.exported) for k, s in SPECS.items()}
 CONTAINERS = {"class", "interface", "enum", "module"}
 

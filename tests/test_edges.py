@@ -58,3 +58,19 @@ def test_php_and_includes(spark):
     assert E.resolve_php(php, f, psr4).count() == 0  # the longest prefix decides
     inc = spark.createDataFrame([("memory", "src/a.c", 1, "x.h", False), ("memory", "src/a.c", 2, "lib/x.h", True), ("memory", "src/a.c", 3, "x.h", True)], k + ", angled boolean")
     assert sorted((r["ln"], r["to_rel"]) for r in E.resolve_include(inc, f).collect()) == [(1, "src/x.h"), (2, "include/lib/x.h")]
+
+
+def test_configs_modules_and_kinds_from_files(spark):
+    files = {
+        "tsconfig.json": '{ // c\n"compilerOptions": {"baseUrl": "./src", "paths": {"@app/*": ["app/*"],}}}', "pkg/a/tsconfig.json": '{"extends": "../../tsconfig.json"}',
+        "src/app/widget.ts": "export const a = 1;\n", "src/index.ts": "import { a } from '@app/widget';\n", "pkg/a/use.ts": "import { a } from '@app/widget';\n",
+        "x/package.json": '{"type": "module"}', "x/y/m.js": "1\n", "z.js": "1\n", "w.cjs": "1\n",
+    }
+    f = from_map(spark, files).cache()
+    c = E.configs_of(f).cache()
+    e = E.edges(f, configs=c, families=("script",))
+    assert {r["rel"]: r["to_rel"] for r in e.collect()} == {"src/index.ts": "src/app/widget.ts", "pkg/a/use.ts": "src/app/widget.ts"}
+    k = {r["rel"]: r["kind"] for r in E.module_kind(f).collect()}
+    assert (k["x/y/m.js"], k["z.js"], k["w.cjs"]) == ("module", "ambiguous", "commonjs")
+    m = spark.createDataFrame([("w", "svc/go.mod", "module ex.org/m\n\ngo 1.22\n", True)], "ws string, rel string, content string, indexed boolean")
+    assert [tuple(r) for r in E.go_modules_of(m).collect()] == [("w", "svc", "ex.org/m")]

@@ -110,3 +110,20 @@ def test_identity():
     assert i == '["openai","http://x","text-embed",8]' and V.pipeline_name(i).startswith("code_text_embed_8_")
     e = V.bag_of_words(["one two three three", "", None])
     assert abs((e[0] ** 2).sum() - 1) < 1e-6 and not e[1].any()
+
+
+def test_further_languages():
+    def got(rel, text):
+        return [(x.path, x.kind) for x in extract.extract(rel, text, [])[0]]
+
+    assert got("a.php", "<?php\nfinal class A {\n  const X = 1;\n  public function f(int $a): int { return 1; }\n}\nfunction g() { }\n") == [("A", "class"), ("A.X", "constant"), ("A.f", "method"), ("g", "function")]
+    assert got("a.cs", "namespace N {\n  public class A {\n    public async Task<List<int>> F(int a) { return null; }\n  }\n}\n") == [("N", "module"), ("N.A", "class"), ("N.A.F", "method")]
+    assert got("a.c", "#define MAX 3\nstruct S { int a; };\nstatic int f(int a, char *b)\n{\n  return g(a);\n}\n") == [("MAX", "constant"), ("S", "class"), ("f", "function")]
+    assert got("a.cpp", "namespace n {\nint a;\n}\nint A::f(const std::string& s) const {\n  if (x) { }\n}\n") == [("n", "module"), ("A::f", "function")]
+
+
+def test_render_stops_at_the_budget():
+    from corpuscle import tools
+
+    text = tools.render(range(100), lambda r: "x" * 9, 250, 50, 100)
+    assert text.count("x" * 9) == 10 and text.endswith("250 in all; go on with offset 60")
