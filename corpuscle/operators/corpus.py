@@ -117,10 +117,10 @@ def addressing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def duplicate_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Symbols whose name occurs more than once in their file, with the ordinal that tells them apart."""
+    """Symbols whose name occurs more than once in their workspace, with the ordinal that tells them apart."""
     s = table(spark, sf, "symbols").select("ws", "file", "name", "path", "line_start").distinct()
-    w = Window.partitionBy("ws", "file", "name")
-    n = s.withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy("line_start", "path")))
+    w = Window.partitionBy("ws", "name")
+    n = s.withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy("file", "line_start", "path")))
     return n.where("n > 1").select("ws", "file", "line_start", F.concat("name", F.lit(" §"), F.col("i").cast("string")).alias("piece"))
 
 
@@ -176,7 +176,7 @@ ORACLE = {
  b AS (SELECT q, ws, file, path, min(CASE WHEN path = q THEN 0 ELSE 2 END) AS tier FROM s JOIN a ON path = q OR name = q GROUP BY ALL),
  m AS (SELECT q, min(tier) AS tier FROM b GROUP BY q) SELECT b.q, CAST(b.tier AS INTEGER) AS tier, count(*) AS candidates FROM b JOIN m ON b.q = m.q AND b.tier = m.tier GROUP BY ALL""",
     "duplicate_names": """WITH s AS (SELECT DISTINCT ws, file, name, path, line_start FROM symbols),
- n AS (SELECT *, count(*) OVER (PARTITION BY ws, file, name) AS n, row_number() OVER (PARTITION BY ws, file, name ORDER BY line_start, path) AS i FROM s)
+ n AS (SELECT *, count(*) OVER (PARTITION BY ws, name) AS n, row_number() OVER (PARTITION BY ws, name ORDER BY file, line_start, path) AS i FROM s)
  SELECT ws, file, line_start, name || ' §' || i AS piece FROM n WHERE n > 1""",
     "tokens_df": f"WITH {TERMS_SQL} SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM K GROUP BY term",
 }

@@ -136,6 +136,16 @@ def rgb(c: Column) -> Column:
     return F.when(n.isin(3, 4), made(short(1), short(2), short(3))).when(n.isin(6, 8), made(long(1), long(3), long(5))).when(f(1) != "", made(dec(1), dec(2), dec(3)))
 
 
+def rgb_of(value: str | None) -> tuple[int, int, int] | None:
+    """The same for a single string."""
+    v = (value or "").lower()
+    if re.fullmatch(r"#(?:[0-9a-f]{3,4}|[0-9a-f]{6}|[0-9a-f]{8})", v):
+        h = "".join(c * 2 for c in v[1:]) if len(v) < 6 else v[1:]
+        return int(h[:2], 16), int(h[2:4], 16), int(h[4:6], 16)
+    m = re.match(r"rgba?\(\s*(\d{1,3})\s*,\s*(\d{1,3})\s*,\s*(\d{1,3})\b", v)
+    return (int(m[1]), int(m[2]), int(m[3])) if m else None
+
+
 def nearest_colour(literals: DataFrame, palette: DataFrame, cutoff: int = 3 * 64 * 64) -> DataFrame:
     """For each (literal) the palette entry at the least squared distance, if within the cutoff; ties by name.
 
@@ -143,8 +153,10 @@ def nearest_colour(literals: DataFrame, palette: DataFrame, cutoff: int = 3 * 64
     """
     from ..session import bounded_rows
 
-    rows = bounded_rows(palette.select("name", rgb(F.col("value")).alias("c")).where("c IS NOT NULL").orderBy("name"), 1000, "palette")
-    entry = F.array(*[F.struct(F.lit(r["name"]).alias("name"), *[F.lit(r["c"][i]).alias(i) for i in "rgb"]) for r in rows])
+    rows = sorted((r["name"], c) for r in bounded_rows(palette.select("name", "value"), 1000, "palette") if (c := rgb_of(r["value"])))
+    if not rows:
+        return literals.select(*literals.columns, F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("distance")).limit(0)
+    entry = F.array(*[F.struct(F.lit(name).alias("name"), *[F.lit(v).alias(i) for i, v in zip("rgb", c)]) for name, c in rows])
     sq = lambda a, b: (a - b) * (a - b)
 
     def best(c: Column) -> Column:
