@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..session import table
+from ..session import spread, table
 from . import corpus, grep
 
 # fixed values: extensions of code, which has symbols instead of regions
@@ -251,7 +251,7 @@ def chunk_rows(files: DataFrame) -> DataFrame:
                     rows.append((ws, rel, i, a, b, text.count("\n", 0, a + skip) + 1, text[a:b]))
             yield pd.DataFrame(rows, columns=["ws", "rel", "i", "start", "end", "line_start", "text"])
 
-    return corpus.content(files).mapInPandas(run, CHUNKS).dropDuplicates(["ws", "rel", "i"])
+    return spread(corpus.content(files)).mapInPandas(run, CHUNKS).dropDuplicates(["ws", "rel", "i"])
 
 
 def headed(chunk: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..session import table
+from ..session import spread, table
 from . import corpus
 
 VERSION = "corpuscle:1"
@@ -304,7 +304,7 @@ def extract_files(files: DataFrame) -> DataFrame:
                 out[c] = out[c].astype("Int32")
             yield out
 
-    return corpus.content(files).mapInPandas(run, SYMBOLS).dropDuplicates(["ws", "file", "ord"])
+    return spread(corpus.content(files)).mapInPandas(run, SYMBOLS).dropDuplicates(["ws", "file", "ord"])
 
 
 def calls(files: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions.text import Offsets
-from ..session import table
+from ..session import spread, table
 from . import corpus
 
 DIAGNOSTICS = "ws string, rel string, source string, code string, severity string, message string, start int, `end` int, line int, col int"
@@ -110,7 +110,7 @@ def diagnostics(files: DataFrame) -> DataFrame:
             rows = [(ws, rel, *d) for ws, rel, source in pdf.itertuples(index=False) for d in diagnose(rel, source)]
             yield pd.DataFrame(rows, columns=names)
 
-    return corpus.content(files).mapInPandas(run, DIAGNOSTICS).distinct()
+    return spread(corpus.content(files)).mapInPandas(run, DIAGNOSTICS).distinct()
 
 
 def compare_diagnostics(baseline: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFrame:

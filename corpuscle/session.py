@@ -55,6 +55,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For costly maps right behind a scan: enough partitions to keep every core busy.
+
+    A small table may be a single split. Where the scan already has as many splits as there are cores, which is so at
+    any size that matters, nothing is shuffled. ``df`` must hold no exchange, as its plan is asked for its splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """Rows of a table that is small by its meaning; an error, never a cut, if it is not."""
     rows = df.limit(most + 1).collect()
