@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 #: Folder of the vocabulary files; a parameter of every operator that needs one.
 TOKENIZERS = os.environ.get("CORPUSCLE_TOKENIZERS", "/opt/tokenizers")
 
@@ -262,7 +264,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
                     names += ["slice_starts", "slice_ids"]
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
-    return documents.select(key, text).mapInArrow(run, schema)
+    return spread(documents.select(key, text)).mapInArrow(run, schema)
 
 
 def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text", vocab_file: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS) -> DataFrame:
@@ -275,7 +277,7 @@ def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text",
             n = [len(i) for i, _, _ in encode_texts(batch.column(1).to_pylist(), vocab)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[key, "n_tokens"])
 
-    return documents.select(key, text).mapInArrow(run, f"`{key}` {dict(documents.dtypes)[key]}, n_tokens bigint")
+    return spread(documents.select(key, text)).mapInArrow(run, f"`{key}` {dict(documents.dtypes)[key]}, n_tokens bigint")
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 CHUNK, OVERLAP = 1 << 18, 64
 MARK = "REDACTED"
 FOUND = "ws string, rel string, line_no int, start_off bigint, end_off bigint, kind string"
@@ -526,7 +528,7 @@ def find_credentials(files: DataFrame) -> DataFrame:
             rows = [(ws, rel, *x) for ws, rel, text in pdf.itertuples(index=False) for x in lines_found(text, rel or "")]
             yield pd.DataFrame(rows, columns=names)
 
-    return files.select("ws", "rel", "content").where("content IS NOT NULL").mapInPandas(run, FOUND)
+    return spread(files.select("ws", "rel", "content").where("content IS NOT NULL")).mapInPandas(run, FOUND)
 
 
 def redact(files: DataFrame) -> DataFrame:
@@ -541,4 +543,4 @@ def redact(files: DataFrame) -> DataFrame:
                     rows.append((ws, rel, n, made))
             yield pd.DataFrame(rows, columns=["ws", "rel", "values", "content"])
 
-    return files.select("ws", "rel", "content").where("content IS NOT NULL").mapInPandas(run, "ws string, rel string, values int, content string")
+    return spread(files.select("ws", "rel", "content").where("content IS NOT NULL")).mapInPandas(run, "ws string, rel string, values int, content string")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import table_lang
+from ..session import spread, table_lang
 from .parses import syntax_errors
 
 SCHEMA = "ws string, rel string, lang string, name string, line_start int, line_end int, signature string, doc string, code string"
@@ -369,4 +369,4 @@ def documented_functions(files: DataFrame) -> DataFrame:
                     rows.append((ws, rel, lang, name, first, last, signature, doc, code))
             yield pd.DataFrame(rows, columns=names)
 
-    return todo.mapInPandas(run, SCHEMA)
+    return spread(todo).mapInPandas(run, SCHEMA)

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # fixed values: ISO 639-1 code, ISO 639-2 and -3 codes, English names
 NAMES = """
 ar ara arabic|bg bul bulgarian|ca cat catalan|cs ces cze czech|da dan danish|de deu ger german|el ell gre greek|en eng english
@@ -395,7 +397,7 @@ def language_segments(documents: DataFrame, model: Model | None = None) -> DataF
                     rows += [(doc, label, label_code(label), n, k, *seg) for k, seg in enumerate(segs)]
             yield pd.DataFrame(rows, columns=names)
 
-    return documents.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").mapInPandas(run, SEGMENTS)
+    return spread(documents.where(F.col("text").isNotNull()).select("doc_id", "lang", "text")).mapInPandas(run, SEGMENTS)
 
 
 def document_languages(segments: DataFrame) -> DataFrame:

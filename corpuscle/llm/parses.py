@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import table_lang
+from ..session import spread, table_lang
 
 SCHEMA = "ws string, rel string, lang string, valid boolean, first_line int, first_cause string, errors array<struct<line:int,cause:string>>"
 
@@ -89,7 +89,7 @@ def check_syntax(files: DataFrame) -> DataFrame:
             out["first_line"] = out["first_line"].astype("Int32")
             yield out
 
-    return todo.mapInPandas(run, SCHEMA)
+    return spread(todo).mapInPandas(run, SCHEMA)
 
 
 def rates(checked: DataFrame) -> DataFrame:
