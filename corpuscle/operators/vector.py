@@ -80,22 +80,23 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", value: str = "embedding") -> DataFrame:
-    """(q, key, score, rank) of the k most similar rows of each query by cosine; ties by key. Exact.
-
-    ``queries`` are fetched block by block in key order; a block has a fixed size, whatever the number of queries.
-    """
-    spark = vectors.sparkSession
-    width, out = BLOCK, None
+def _blocks(queries: DataFrame, key: str, value: str) -> Iterator[tuple[list, np.ndarray]]:
+    """Keys and unit vectors of the queries, block by block in hash order; a block has a fixed size, whatever their number."""
     numbered = queries.select(F.col(key).alias("q"), F.col(value).alias("v")).where(F.col(value).isNotNull())
-    total = numbered.count()
-    blocks = max(1, -(-total // width))
+    blocks = max(1, -(-numbered.count() // BLOCK))
     for b in range(blocks):
         part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
         rows = part.collect()  # about BLOCK vectors
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r["q"] for r in rows], _unit(np.array([r["v"] for r in rows], np.float64))))
+        if rows:
+            yield [r["q"] for r in rows], _unit(np.array([r["v"] for r in rows], np.float64))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", value: str = "embedding") -> DataFrame:
+    """(q, key, score, rank) of the k most similar rows of each query by cosine; ties by key. Exact."""
+    spark = vectors.sparkSession
+    out = None
+    for block in _blocks(queries, key, value):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, m = shared.value
@@ -115,6 +116,40 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_per_group(vectors: DataFrame, queries: DataFrame, group: str, key: str = "vec_id", value: str = "embedding") -> DataFrame:
+    """(q, group, key, score) of the most similar row of each group for each query; ties by key. Exact.
+
+    Sent in blocks like ``nearest``; each batch of rows gives its best of every group, so (batches x queries x groups) rows are shuffled at most.
+    """
+    spark = vectors.sparkSession
+    out = None
+    for block in _blocks(queries, key, value):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, m = shared.value
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                pdf = pdf.sort_values("key", kind="stable")  # of equal scores argmax takes the first
+                own = pdf["key"].to_numpy()
+                s = m @ _unit(np.stack(pdf["v"].to_numpy()).astype(np.float64)).T
+                codes, labels = pd.factorize(pdf["g"], use_na_sentinel=False)
+                for c, label in enumerate(labels):
+                    at = np.flatnonzero(codes == c)
+                    best = at[np.round(s[:, at], 12).argmax(1)]
+                    yield pd.DataFrame({"q": ids, "g": pd.Series([None if pd.isna(label) else label] * len(ids), dtype=object), "key": own[best], "score": s[np.arange(len(ids)), best]})
+
+        rows = vectors.where(F.col(value).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(key).alias("key"), F.col(value).alias("v"))
+        found = rows.mapInPandas(run, "q bigint, g string, key bigint, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], "q bigint, g string, key bigint, score double")
+    order = F.struct(F.round("score", 12).alias("s"), (-F.col("key")).alias("i"))
+    best = out.groupBy("q", "g").agg(F.max_by("key", order).alias("key"), F.max_by("score", order).alias("score"))
+    return best.select("q", F.col("g").cast(vectors.schema[group].dataType).alias(group), "key", "score")
+
+
 # -- an index: inverted lists of a coarse quantiser
 
 
@@ -192,23 +227,17 @@ def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def knn_best_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    """The best row of each label for vector 0, the earlier of equal ones."""
+    """The best row of each label for every vector whose id is divisible by 20, the earlier of equal ones."""
     v = _vec(spark, sf)
-    q = v.where("vec_id = 0").first()["embedding"]
-    unit = _unit(np.array([q], np.float64))[0].tolist()
-    lit = F.array(*[F.lit(x) for x in unit])
-    dot = F.aggregate(F.zip_with("embedding", lit, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, b: a + b)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b.cast("double") * b.cast("double")))
-    s = v.select("vec_id", "label", (dot / norm).alias("score"))
-    return s.groupBy("label").agg(F.max_by("vec_id", F.struct(F.round("score", 12).alias("s"), (-F.col("vec_id")).alias("i"))).alias("vec_id"), F.round(F.max("score"), 6).alias("score"))
+    return nearest_per_group(v, v.where("vec_id % 20 = 0"), "label").select("q", "label", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 def knn_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """The same queries in two profiles, all dimensions and the first half of them."""
+    """The queries of ``knn_topk`` in two profiles, all dimensions and the first half of them."""
     v = _vec(spark, sf)
     half = v.withColumn("embedding", F.slice("embedding", 1, 32))
-    a = nearest(v, v.where("vec_id % 100 = 0"), 2).withColumn("profile", F.lit(identity("table", "", "full", 64)))
-    b = nearest(half, half.where("vec_id % 100 = 0"), 2).withColumn("profile", F.lit(identity("table", "", "half", 32)))
+    a = nearest(v, v.where("vec_id % 20 = 0"), 2).withColumn("profile", F.lit(identity("table", "", "full", 64)))
+    b = nearest(half, half.where("vec_id % 20 = 0"), 2).withColumn("profile", F.lit(identity("table", "", "half", 32)))
     return a.unionByName(b).select("profile", "q", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
