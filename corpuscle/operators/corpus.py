@@ -106,14 +106,19 @@ def glob_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def addressing(spark: SparkSession, sf: str) -> DataFrame:
-    """How each queried name addresses symbols: exact path, path suffix, then bare name; only the best tier counts."""
+    """How each name addresses symbols: exact path, path suffix (with a dot), then bare name; only the best tier counts.
+
+    Every name, path, path head and dotted path end of the table is asked. What a symbol answers to is exploded from its own
+    row, which is the join of the names asked with the table: a head that is neither path nor name has no candidate.
+    """
     s = table(spark, sf, "symbols").select("ws", "file", "path", "name").distinct()
-    asked = s.where("name LIKE 'rank%'").select(F.col("name").alias("q")).union(s.where("name LIKE 'rank%'").select(F.element_at(F.split("path", r"\."), 1).alias("q"))).distinct()
-    by_path = s.join(asked, F.col("path") == F.col("q")).withColumn("tier", F.lit(0))
-    by_name = s.join(asked, F.col("name") == F.col("q")).withColumn("tier", F.lit(2))
-    both = by_path.unionByName(by_name).groupBy("q", "ws", "file", "path").agg(F.min("tier").alias("tier"))
-    best = both.groupBy("q").agg(F.min("tier").alias("tier"))
-    return both.join(best, ["q", "tier"]).groupBy("q", "tier").agg(F.count("*").alias("candidates"))
+    path, parts = F.col("path"), F.split(F.coalesce("path", F.lit("")), r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    ends = F.filter(ends, lambda q: (q == path) | q.contains("."))
+    tiers = F.transform(ends, lambda q: F.struct(q.alias("q"), F.when(q == path, 0).otherwise(1).alias("tier")))
+    each = s.select("ws", "file", "path", F.inline(F.array_append(tiers, F.struct(F.col("name").alias("q"), F.lit(2).alias("tier"))))).where("q IS NOT NULL")
+    one = each.groupBy("q", "ws", "file", "path").agg(F.min("tier").alias("tier")).groupBy("q", "tier").agg(F.count("*").alias("candidates"))
+    return one.groupBy("q").agg(F.min(F.struct("tier", "candidates")).alias("b")).select("q", "b.tier", "b.candidates")
 
 
 def duplicate_names(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from corpuscle.operators import vector
+from corpuscle.operators import corpus, vector
 from tests.compare import same
 
 
@@ -32,3 +32,20 @@ def test_best_per_group_without_vector_0(spark, tmp_path, monkeypatch, block):
     assert got == [(20, 0, 40, 0.0), (20, 1, 20, 1.0), (40, 0, 40, 1.0), (40, 1, 20, 0.0), (60, 0, 40, 1.0), (60, 1, 20, 0.0)]
     only = write(spark, tmp_path / "none", embeddings=([(1, [1.0], 1)], "vec_id bigint, embedding array<float>, label int"))
     assert vector.knn_best_per_group(spark, only).count() == 0
+
+
+ADDRESSED = """WITH s AS (SELECT DISTINCT ws, file, path, name FROM symbols), p AS (SELECT path, string_split(path, '.') AS a FROM s),
+ e AS (SELECT array_to_string(a[i:], '.') AS q FROM (SELECT a, unnest(range(1, len(a) + 1)) AS i FROM p)),
+ a AS (SELECT name AS q FROM s UNION SELECT path FROM s UNION SELECT split_part(path, '.', 1) FROM s UNION SELECT q FROM e WHERE contains(q, '.')),
+ b AS (SELECT q, ws, file, path, min(CASE WHEN path = q THEN 0 WHEN contains(q, '.') AND ends_with(path, '.' || q) THEN 1 ELSE 2 END) AS tier
+  FROM s JOIN a ON path = q OR contains(q, '.') AND ends_with(path, '.' || q) OR name = q GROUP BY ALL),
+ m AS (SELECT q, min(tier) AS tier FROM b GROUP BY q) SELECT b.q, CAST(b.tier AS INTEGER) AS tier, count(*) AS candidates FROM b JOIN m ON b.q = m.q AND b.tier = m.tier GROUP BY ALL"""
+
+
+def test_every_name_and_path_end_is_asked(spark, sf, tmp_path):
+    same(corpus.addressing(spark, sf), ADDRESSED, sf)
+    rows = [("w", "f", "A.b.c", "c"), ("w", "f", "X.b.c", "c"), ("w", "f", "b", "b"), ("w", "g", "b.c", "c"), ("w", "g", "Q.d", "d"), ("w", "g", "R.e.d", "d")]
+    at = write(spark, tmp_path, symbols=(rows, "ws string, file string, path string, name string"))
+    got = {r["q"]: (r["tier"], r["candidates"]) for r in corpus.addressing(spark, at).collect()}
+    assert got == {"A.b.c": (0, 1), "X.b.c": (0, 1), "b": (0, 1), "b.c": (0, 1), "Q.d": (0, 1), "R.e.d": (0, 1), "e.d": (1, 1), "c": (2, 3), "d": (2, 2)}
+    same(corpus.addressing(spark, at), ADDRESSED, at)
