@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import table, table_lang
 from .incremental import hash_number
 
 
@@ -106,9 +106,9 @@ def moved_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def orphaned_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """Files that the symbol table knows and the file table does not, and the reverse for code."""
+    """Files that the symbol table knows and the file table does not, and the reverse for code of every language."""
     s = table(spark, sf, "symbols").select("ws", F.col("file").alias("rel")).distinct()
-    f = table(spark, sf, "files").where("content IS NOT NULL AND rel LIKE '%.py'").select("ws", "rel").distinct()
+    f = table(spark, sf, "files").where(F.col("content").isNotNull() & ~table_lang(F.col("rel")).isin("*", "json")).select("ws", "rel").distinct()
     a = orphans(s, f.union(table(spark, sf, "files").select("ws", "rel")), ["ws", "rel"]).withColumn("side", F.lit("symbols"))
     return a.unionByName(orphans(f, s, ["ws", "rel"]).withColumn("side", F.lit("files")))
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from corpuscle.operators import corpus, vector
+from corpuscle.operators import corpus, scan, vector
 from tests.compare import same
 
 
@@ -49,3 +49,11 @@ def test_every_name_and_path_end_is_asked(spark, sf, tmp_path):
     got = {r["q"]: (r["tier"], r["candidates"]) for r in corpus.addressing(spark, at).collect()}
     assert got == {"A.b.c": (0, 1), "X.b.c": (0, 1), "b": (0, 1), "b.c": (0, 1), "Q.d": (0, 1), "R.e.d": (0, 1), "e.d": (1, 1), "c": (2, 3), "d": (2, 2)}
     same(corpus.addressing(spark, at), ADDRESSED, at)
+
+
+def test_code_of_every_language_without_symbols_is_orphaned(spark, tmp_path):
+    rels = ["a.py", "a.js", "a.mjs", "a.ts", "a.go", "a.java", "a.rs", "a.json", "a.md", "known.go"]
+    files = [("w", rel, "x") for rel in rels] + [("w", "null.rs", None)]
+    at = write(spark, tmp_path, files=(files, "ws string, rel string, content string"), symbols=([("w", "known.go"), ("w", "lost.ts")], "ws string, file string"))
+    got = {(r["rel"], r["side"]) for r in scan.orphaned_symbols(spark, at).collect()}
+    assert got == {(rel, "files") for rel in rels[:7]} | {("lost.ts", "symbols")}
