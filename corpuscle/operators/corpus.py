@@ -70,8 +70,8 @@ def largest_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def symbols_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Methods of every file with their place, doc cut to 160."""
-    s = table(spark, sf, "symbols").where("kind = 'method'")
+    """Symbols of every file with their place, doc cut to 160."""
+    s = table(spark, sf, "symbols")
     return s.select("ws", "file", "name", "path", "parent", "line_start", "line_end", F.substring("doc", 1, 160).alias("doc"), F.coalesce("exported", F.lit(False)).alias("exported")).distinct()
 
 

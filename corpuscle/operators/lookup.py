@@ -226,9 +226,9 @@ def packages(files: DataFrame) -> DataFrame:
 
 
 def read_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """The text of every method by its lines, as a digest: symbols joined to their content once."""
+    """The text of every symbol by its lines, as a digest: symbols joined to their content once."""
     f = table(spark, sf, "files")
-    s = table(spark, sf, "symbols").where("kind = 'method'").select("ws", F.col("file").alias("rel"), "path", "line_start", "line_end").distinct()
+    s = table(spark, sf, "symbols").select("ws", F.col("file").alias("rel"), "path", "line_start", "line_end").distinct()
     # spans are gathered by file, so that content is split once and shuffled once
     spans = s.groupBy("ws", "rel").agg(F.collect_list(F.struct("path", "line_start", "line_end")).alias("spans"))
     j = corpus.content(f).dropDuplicates(["ws", "rel"]).join(spans, ["ws", "rel"])
@@ -238,9 +238,9 @@ def read_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def symbol_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    """The text of every class by its offsets, beside its first line number, as a digest."""
+    """The text of every symbol by its offsets, beside its first line number, as a digest."""
     f = corpus.content(table(spark, sf, "files")).dropDuplicates(["ws", "rel"])
-    s = table(spark, sf, "symbols").where("kind = 'class' AND start_off IS NOT NULL").select("ws", F.col("file").alias("rel"), "name", "start_off", "end_off", "line_start").distinct()
+    s = table(spark, sf, "symbols").where("start_off IS NOT NULL").select("ws", F.col("file").alias("rel"), "name", "start_off", "end_off", "line_start").distinct()
     j = f.join(s, ["ws", "rel"])
     before = F.substring(F.col("content"), F.lit(1), F.col("start_off"))
     cut = F.substring(F.col("content"), F.col("start_off") + 1, F.col("end_off") - F.col("start_off"))

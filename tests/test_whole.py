@@ -2,7 +2,7 @@
 
 import pytest
 
-from corpuscle.operators import corpus, scan, vector
+from corpuscle.operators import corpus, lookup, scan, vector
 from tests.compare import same
 
 
@@ -57,3 +57,12 @@ def test_code_of_every_language_without_symbols_is_orphaned(spark, tmp_path):
     at = write(spark, tmp_path, files=(files, "ws string, rel string, content string"), symbols=([("w", "known.go"), ("w", "lost.ts")], "ws string, file string"))
     got = {(r["rel"], r["side"]) for r in scan.orphaned_symbols(spark, at).collect()}
     assert got == {(rel, "files") for rel in rels[:7]} | {("lost.ts", "symbols")}
+
+
+def test_symbols_of_every_kind_are_read(spark, sf):
+    cols = lambda more: f"WITH {corpus.SEARCHABLE_SQL}, S AS (SELECT DISTINCT ws, file AS rel, line_start, {more} FROM symbols)"
+    same(lookup.read_symbols(spark, sf), cols("path, line_end") + """ SELECT ws, rel, path, line_start, md5(array_to_string((string_split(content, chr(10)))[line_start:line_end], chr(10))) AS md5
+     FROM S JOIN C USING (ws, rel)""", sf)
+    same(lookup.symbol_offsets(spark, sf), cols("name, start_off, end_off") + """ SELECT ws, rel, name, line_start, CAST(start_off - len(replace(left(content, start_off), chr(10), '')) + 1 AS INTEGER) AS line,
+     md5(substring(content, start_off + 1, end_off - start_off)) AS md5 FROM S JOIN C USING (ws, rel) WHERE start_off IS NOT NULL""", sf)
+    same(corpus.symbols_table(spark, sf), "SELECT DISTINCT ws, file, name, path, parent, line_start, line_end, left(doc, 160) AS doc, coalesce(exported, false) AS exported FROM symbols", sf)
