@@ -4,7 +4,7 @@ A text becomes a string of token kinds, one character each: names are 'a', numbe
 for itself, keywords and longer operators have a character of their own, and what is no token of the language is BAD.
 Comments vanish. Parsing functions take a position and return the next one, or raise Bad. Segments that a rule has
 accepted whole, ending at its own last token, are remembered by their kinds, across files: a rule is a pure function of
-the kinds it consumed, so a segment seen before need not be parsed again.
+the kinds it consumed, so a segment seen before need not be parsed again. Where it is not (ambient declarations), nothing is remembered.
 """
 
 from __future__ import annotations

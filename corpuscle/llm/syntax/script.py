@@ -102,7 +102,7 @@ class Script(Parser):
         c = self.s[i]
         if c == "\n" or c == ";":
             return i + 1
-        if c in SIMPLE_START:
+        if c in SIMPLE_START and not self.ambient:  # what is accepted there may be invalid elsewhere
             return self.remembered(SEEN[self.ts], self.statement_, i)
         return self.statement_(i)
 

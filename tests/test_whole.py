@@ -2,6 +2,8 @@
 
 import pytest
 
+from corpuscle.llm import parses
+from corpuscle.llm.syntax import script
 from corpuscle.operators import corpus, lookup, scan, vector
 from tests.compare import same
 
@@ -66,3 +68,10 @@ def test_symbols_of_every_kind_are_read(spark, sf):
     same(lookup.symbol_offsets(spark, sf), cols("name, start_off, end_off") + """ SELECT ws, rel, name, line_start, CAST(start_off - len(replace(left(content, start_off), chr(10), '')) + 1 AS INTEGER) AS line,
      md5(substring(content, start_off + 1, end_off - start_off)) AS md5 FROM S JOIN C USING (ws, rel) WHERE start_off IS NOT NULL""", sf)
     same(corpus.symbols_table(spark, sf), "SELECT DISTINCT ws, file, name, path, parent, line_start, line_end, left(doc, 160) AS doc, coalesce(exported, false) AS exported FROM symbols", sf)
+
+
+@pytest.mark.parametrize("around", ["declare namespace N {\n%s\n}\n", "declare module 'm' {\n%s\n}\n", "declare global {\n%s\n}\n"])
+def test_ambient_declarations_are_not_remembered(monkeypatch, around):
+    monkeypatch.setattr(script, "SEEN", {False: set(), True: set()})
+    assert not parses.syntax_errors("typescript", around % "const a: number;")
+    assert parses.syntax_errors("typescript", "const limit: number;\n")
