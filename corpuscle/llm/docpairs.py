@@ -326,13 +326,15 @@ def _comment_above(text: str, lines: list[str], ends: dict, starts: list[int], f
         line = lines[k - 1].strip()
         if not line:
             return None
-        j = k
-        while j >= 1 and first - j < 40 and not re.match(r"@\w|#!?\[", lines[j - 1].strip()):
+        # up to the line that opens the bracket closed last; a decorator of one line is its own
+        j, depth = k, [0, 0, 0]
+        while True:
+            for n, (o, c) in enumerate(("()", "[]", "{}")):
+                depth[n] += lines[j - 1].count(c) - lines[j - 1].count(o)
+            if j == 1 or max(depth) <= 0:
+                break
             j -= 1
-        if j < 1 or first - j >= 40:
-            return None
-        block = "\n".join(lines[j - 1 : k])
-        if any(block.count(a) != block.count(b) for a, b in ("()", "[]", "{}")) or j < k and not re.search(r"[(\[]", lines[j - 1]):
+        if any(depth) or not re.match(r"@\w|#!?\[", lines[j - 1].strip()):
             return None
         k = j - 1
     if k < 1 or k not in ends:
