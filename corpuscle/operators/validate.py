@@ -1,11 +1,8 @@
-"""Validation: syntax and balance diagnostics, template tag balance, colour literals, and comparison with a baseline."""
+"""Validation: syntax diagnostics by the checkers of ``corpuscle.syntax`` (bracket balance for languages without one), template tag balance, colour literals, and comparison with a baseline."""
 
 from __future__ import annotations
 
-import ast
-import json
 import re
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,22 +12,18 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..functions.text import Offsets
 from ..session import spread, table
+from ..syntax import LANGUAGES, syntax_errors
 from . import corpus
 
 DIAGNOSTICS = "ws string, rel string, source string, code string, severity string, message string, start int, `end` int, line int, col int"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIP = {
-    "python": r'"""(?:[^"\\]|\\.|"(?!""))*+"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*+\'\'\'|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|#[^\n]*',
-    "script": r'//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`(?:[^`\\]|\\.)*+`|(?<=[=(,:!&|?{};+ ])/(?![*/ ])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*',
-    "other": r'//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.){1,10}\'|`[^`]*+`',
-}
-_SKIP = {k: re.compile(v, re.S) for k, v in _SKIP.items()}
+_SKIP = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.){1,10}\'|`[^`]*+`', re.S)
 _PAIR = {")": "(", "]": "[", "}": "{"}
 
 
-def balance(source: str, family: str) -> list[tuple[str, str, int, int]]:
+def balance(source: str) -> list[tuple[str, str, int, int]]:
     """(code, message, start, end) of brackets that do not match, outside strings and comments."""
-    bare = _SKIP[family].sub(lambda m: " " * len(m[0]), source)
+    bare = _SKIP.sub(lambda m: " " * len(m[0]), source)
     stack, out = [], []
     for m in re.finditer(r"[()\[\]{}]", bare):
         c = m[0]
@@ -79,26 +72,14 @@ def diagnose(rel: str, source: str) -> list[tuple]:
     lang = paths.LANG_OF_EXT.get(ext, "other")
     at = Offsets(source)
     rows: list[tuple[str, str, str, int, int]] = []
-    if lang == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(source.removeprefix("﻿"))
-        except SyntaxError as e:
-            a = at.offset(e.lineno or 1, max(1, e.offset or 1))
-            rows.append(("syntax", "syntax", e.msg or "invalid syntax", a, min(len(source), a + 1)))
-        except (ValueError, RecursionError) as e:
-            rows.append(("syntax", "syntax", str(e), 0, 0))
-    elif lang == "json" and ext == ".json":
-        try:
-            json.loads(source)
-        except ValueError as e:
-            rows.append(("syntax", "syntax", getattr(e, "msg", str(e)), getattr(e, "pos", 0), getattr(e, "pos", 0) + 1))
-    elif lang in ("javascript", "typescript"):
-        rows += [("balance", *r) for r in balance(source, "script")]
-        rows += [("template", *r) for r in template_balance(source)]
-    elif lang in ("go", "java", "rust", "c", "cpp", "csharp", "php"):
-        rows += [("balance", *r) for r in balance(source, "other")]
+    if lang in LANGUAGES and not (lang == "json" and ext != ".json"):
+        for line, cause in syntax_errors(lang, source):
+            a = at.offset(line, 1)
+            rows.append(("syntax", "syntax", cause, a, min(len(source), a + 1)))
+        if lang in ("javascript", "typescript"):
+            rows += [("template", *r) for r in template_balance(source)]
+    elif lang in ("c", "cpp", "csharp", "php"):
+        rows += [("balance", *r) for r in balance(source)]
     return [(src, code, "error", message, a, b, *at.line_col(min(a, len(source)))) for src, code, message, a, b in rows]
 
 

@@ -69,7 +69,8 @@ def test_extension_registry():
 def test_diagnostics():
     assert validate.diagnose("a.py", "def f(:\n")[0][6] == 1
     assert validate.diagnose("a.js", "f(')', /[(]/);\n") == []
-    assert [d[3] for d in validate.diagnose("a.ts", "f((1);\n")] == ["( is never closed"]
+    assert [(d[0], d[6]) for d in validate.diagnose("a.ts", "x;\nf((1);\n")] == [("syntax", 2)]
+    assert [d[3] for d in validate.diagnose("a.c", "f((1);\n")] == ["( is never closed"]
     assert [validate.rgb_of(c) for c in ("#fff", "#0a0B0c80", "rgb(1, 2,3)", "red", None, "#12345")] == [(255, 255, 255), (10, 11, 12), (1, 2, 3), None, None, None]
     assert [m for _, m, _, _ in validate.template_balance("x = `<b><i>${a ? '<u>' : ''}</b></i>`")][:1] == ["</b> closes nothing that is open"]
     assert validate.template_balance("x = `<b>`; y = `<br><img src=\"a>b\"/><p>x</p>`; // `</i><b>`") == []
