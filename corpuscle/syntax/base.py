@@ -96,18 +96,24 @@ class Parser:
     def __init__(self, kinds: str):
         self.s = kinds + END * 8
         self.errors: list[tuple[int, str]] = []
-        self.closes: dict[int, int] | None = None
+        self.closes: dict[int, int] = {}
 
     def partner(self, i: int) -> int:
-        """Where the bracket that opens at i is closed, -1 if nowhere. All brackets are matched at once, on first use."""
-        if self.closes is None:
-            self.closes, open_ = {}, []
-            for m in self.brackets.finditer(self.s):
+        """Where the bracket that opens at i is closed, -1 if nowhere. Those inside are matched with it, so none is read twice."""
+        found = self.closes.get(i)
+        if found is None:
+            open_: list[int] = []
+            for m in self.brackets.finditer(self.s, i):
                 if m[0] in self.OPEN:
                     open_.append(m.start())
-                elif open_:
+                else:
                     self.closes[open_.pop()] = m.start()
-        return self.closes.get(i, -1)
+                    if not open_:
+                        break
+            for k in open_:
+                self.closes[k] = -1
+            found = self.closes[i]
+        return found
 
     def need(self, i: int, kind: str, what: str = "") -> int:
         if self.s[i] != kind:

@@ -1307,69 +1307,64 @@ def _template(text: str, pos: int) -> tuple[str, int]:
             pos = c.end()
 
 
-_LEXICAL = frozenset(K[w] for w in ("let", "const", "class"))
-_DECLARE = _LEXICAL | {K["var"], K["function"]}
-_INTEREST = re.compile("[(){}\\[\\]" + "".join(sorted(_DECLARE)) + "]")
+_SCOPES = frozenset("{ } let const class var function".split())
 
 
-_DECLARED = re.compile(r"\b(?:let|const|class|var|function)\b[\s*]*([\w$]+)")
+def declared_twice(tokens: list[str]) -> list[int]:
+    """Indices of names that a block declares again although one of the declarations is by let, const or class.
 
-
-def declared_twice(text: str) -> list[int]:
-    """Offsets of names that a block declares again although one of the declarations is by let, const or class.
-
-    Declarations are told apart by the innermost bracket they stand in, so heads of loops and patterns are left out.
+    Declarations are told apart by the innermost brace they stand in; heads of loops and patterns are left out.
     """
-    names = _DECLARED.findall(text)
-    if len(names) == len(set(names)):
-        return []
-    tokens = list(LEX.pattern.finditer(text))
-    kinds = [LEX.kinds[m[0]] for m in tokens]
-    wanted = [k for k, c in enumerate(kinds) if c and _INTEREST.match(c)]
-    scopes: list[dict[str, bool] | None] = [{}]
+    scopes: list[dict[str, bool]] = [{}]
     out = []
-    for k in wanted:
-        c = kinds[k]
-        if c in "([":
-            scopes.append(None)
-        elif c == "{":
+    for k in [k for k, t in enumerate(tokens) if t in _SCOPES]:
+        by = tokens[k]
+        if by == "{":
             scopes.append({})
-        elif c in ")]}":
+            continue
+        if by == "}":
             if len(scopes) > 1:
                 scopes.pop()
-        elif (scope := scopes[-1]) is not None:
-            n = k + 1
-            while n < len(kinds) and kinds[n] in ("", "\n", "*"):
-                n += 1
-            if n == len(kinds) or kinds[n] not in IDENT or c == K["let"] and kinds[n] in (K["of"], K["in"], K["instanceof"]):
+            continue
+        n = _token(tokens, k + 1, 1)
+        b = _token(tokens, k - 1, -1)
+        name, before = tokens[n] if n < len(tokens) else "", tokens[b] if b >= 0 else ";"
+        if name == "*" or not (name[:1].isalpha() or name[:1] in ("_", "$")) or before in ("(", "."):
+            continue
+        if by in ("class", "function"):
+            if before not in (";", "{", "}", "export"):  # an expression
                 continue
-            if c in (K["class"], K["function"]):  # a declaration, no expression
-                b = k - 1
-                while b >= 0 and kinds[b] in ("", "\n"):
-                    b -= 1
-                if b >= 0 and kinds[b] not in (";", "{", "}", K["export"]):
-                    continue
-            after = n + 1
-            while after < len(kinds) and kinds[after] == "":
-                after += 1
-            if c == K["let"] and after < len(kinds) and kinds[after] not in ("=", ";", ",", "\n"):
+        elif by == "let":
+            after = _token(tokens, n + 1, 1)
+            if name in ("of", "in", "instanceof") or after < len(tokens) and tokens[after] not in ("=", ";", ","):
                 continue
-            name, lexical = tokens[n][0], c in _LEXICAL
-            if name in scope and (lexical or scope[name]):
-                out.append(tokens[n].start())
-            scope[name] = scope.get(name, False) or lexical
+        scope, lexical = scopes[-1], by in ("let", "const", "class")
+        if name in scope and (lexical or scope[name]):
+            out.append(n)
+        scope[name] = scope.get(name, False) or lexical
     return out
 
 
+def _token(tokens: list[str], k: int, step: int) -> int:
+    """The next token from k on that is no line end and no comment."""
+    while 0 <= k < len(tokens) and (tokens[k][0] == "\n" or tokens[k][:2] in ("//", "/*")):
+        k += step
+    return k
+
+
 def check(text: str, ts: bool) -> list[tuple[int, str]]:
     if "${" in text and "`" in text:
         text = templates(text)
-    kinds = LEX.lex(text)
+    tokens = LEX.pattern.findall(text)
+    kinds = "".join(map(LEX.kinds.__getitem__, tokens))
     p = Script(kinds, ts)
     p.top(p.statement)
     if not p.errors:
-        twice = [] if ts else declared_twice(text)  # in TypeScript that is a question of types
-        return [(n, "declared twice") for n in lines_of(text, twice)]
+        twice = [] if ts else declared_twice(tokens)  # in TypeScript that is a question of types
+        if not twice:
+            return []
+        places = [m.start() for m in LEX.pattern.finditer(text)]
+        return [(n, "declared twice") for n in lines_of(text, [places[k] for k in twice])]
     # positions: the parser dropped newlines, so walk both strings
     offs, keep = LEX.offsets(text), []
     last = 0
