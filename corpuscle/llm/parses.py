@@ -1,8 +1,7 @@
 """Source files that do not parse: a flag, all errors and the first cause per file, and rates.
 
-Each file is parsed whole by the recursive-descent parser of the language that its extension names, whatever ``lang``,
-``parsed`` and ``reason`` say. A Python or JSON file that is flagged is then confirmed by the exact parser of the
-standard library; that can only take a flag away.
+Each file is parsed whole by the recursive-descent parser of the language that its extension names (``corpuscle.syntax``),
+whatever ``lang``, ``parsed`` and ``reason`` say. No other parser has a say.
 
 Cases: null content is not judged and gives no row, and neither do files of other extensions. Empty content is valid but
 in Go (no package clause) and JSON (no value). A byte order mark is skipped, but not in JSON. Nesting of any depth is
@@ -11,10 +10,6 @@ parsed. Repeated (ws, rel) rows come out once each if they say the same. Other c
 
 from __future__ import annotations
 
-import ast
-import json
-import sys
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,58 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread, table_lang
+from ..syntax import syntax_errors
 
 SCHEMA = "ws string, rel string, lang string, valid boolean, first_line int, first_cause string, errors array<struct<line:int,cause:string>>"
 
 
-def _json_strict(text: str) -> None:
-    def refuse(_):
-        raise ValueError
-
-    json.loads(text, parse_constant=refuse)
-
-
-def _confirmed(lang: str, text: str) -> bool:
-    """Whether the exact parser also refuses it."""
-    try:
-        if lang == "python":
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-        else:
-            _json_strict(text)
-    except (SyntaxError, ValueError):
-        return True
-    except (RecursionError, MemoryError):
-        return True
-    return False
-
-
-def syntax_errors(lang: str, text: str) -> list[tuple[int, str]]:
-    """(line, cause) of every error, in order; empty for a valid file."""
-    from .syntax import golang, java, json_, python, rust, script
-
-    if lang != "json":
-        text = text.removeprefix("﻿").replace("\r\n", "\n")
-        if lang in ("python", "javascript", "typescript") and "\r" in text:
-            text = text.replace("\r", "\n")
-    check = {
-        "python": python.check, "json": json_.check, "go": golang.check, "java": java.check, "rust": rust.check,
-        "javascript": lambda t: script.check(t, False), "typescript": lambda t: script.check(t, True),
-    }[lang]
-    depth = sys.getrecursionlimit()
-    while True:
-        try:
-            errors = check(text)
-            break
-        except RecursionError:
-            sys.setrecursionlimit(sys.getrecursionlimit() * 10)
-    sys.setrecursionlimit(depth)
-    if errors and lang in ("python", "json") and not _confirmed(lang, text):
-        return []
-    return sorted(errors)
-
-
 def check_syntax(files: DataFrame) -> DataFrame:
     """One row per row of ``files`` with content and one of the eight extensions. A narrow map over three columns."""
     todo = files.select("ws", "rel", table_lang(F.col("rel")).alias("lang"), "content").where("lang <> '*' AND content IS NOT NULL")

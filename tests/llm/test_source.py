@@ -36,7 +36,7 @@ def test_valid_and_invalid(lang):
 
 
 def test_python_agrees_with_the_exact_parser_on_broken_sources():
-    from corpuscle.llm.syntax import python
+    from corpuscle.syntax import python
 
     rnd = random.Random(11)
     base = "\n".join(VALID["python"][:12]).split("\n")
@@ -211,7 +211,7 @@ def test_credential_scan_is_linear(unit, rel):
         return time.process_time() - begun
 
     seconds(1000)
-    assert seconds(1_000_000) < 12  # 1 to 5 on one idle core
+    assert seconds(300_000) < 5  # 0.3 to 1.5 on one idle core
 
 
 def test_credential_table(spark):
