@@ -1,9 +1,9 @@
 """Functions paired with their documentation.
 
 Strings and comments are found first and blanked, so that signatures inside them do not count. Signatures are then found
-by regular expressions, bodies are delimited by a stack of indentation (Python) or of braces (all others), and the
-comment that ends on the line before the declaration, over decorators, annotations and attributes, is attached, as is a
-Python docstring. Documentation that says nothing is dropped, see ``prose``.
+by regular expressions. One pass over the lines with a stack of indentations (Python), or over the braces with a stack of
+those that are open (all others), gives the ends of all bodies at once. The comment that ends on the line before the
+declaration, over decorators, annotations and attributes, is attached, as is a Python docstring. Documentation that says nothing is dropped, see ``prose``.
 
 Cases: files that do not parse, that are no code or have no content give no pair. Repeated rows of a file give the same
 pairs once each. Documentation may be in any language; two ideographs or kana count as a word. Very long files are read
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread, table_lang
-from .parses import syntax_errors
+from ..syntax import syntax_errors
 
 SCHEMA = "ws string, rel string, lang string, name string, line_start int, line_end int, signature string, doc string, code string"
 
@@ -44,9 +44,12 @@ SCAN = {k: re.compile(v, re.S) for k, v in SCAN.items()}
 _ARGS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
 _TYPE = r"(?:\s*+:[^{};=]++)?+\s*+"
 _NO = r"(?!(?:if|for|while|switch|catch|with|return|new|else|throw|do|try|function|await|yield|case|super|this|assert|typeof|delete|void|let|const|var|import|export|class)\b)"
+_FUNC = rf"(?:async\s++)?+(?:function\b|(?:<[^>]*+>\s*+)?+{_ARGS}(?:\s*+:[^{{}};=]++)?+\s*+=>|[\w$]++\s*+=>)"
 _JS = (
     rf"^[ \t]*+(?:(?:(?:export\s++)?+(?:default\s++)?+(?:declare\s++)?+(?:async\s++)?+function\b\s*+\*?+\s*+(?P<f>[\w$]++))"
-    rf"|(?:export\s++)?+const\s++(?P<c>[\w$]++)(?:\s*+:[^=\n]++)?+\s*+=\s*+(?:async\s++)?+(?:function\b|(?:<[^>]*+>\s*+)?+{_ARGS}(?:\s*+:[^{{}};=]++)?+\s*+=>|[\w$]++\s*+=>)"
+    rf"|(?:export\s++)?+(?:const|let|var)\s++(?P<c>[\w$]++)(?:\s*+:[^=\n]++)?+\s*+=\s*+{_FUNC}"
+    # bound to a field of a class, to a property of an object, or by an assignment
+    rf"|(?:(?:public|private|protected|static|override|readonly|declare)\s++(?![(:=;?!]))*+{_NO}(?:[\w$]++\s*+\.\s*+|this\s*+\.\s*+)*+(?P<p>\#?+[\w$]++)\s*+(?:[?!]?+:\s*+(?:[^=;{{}}\n]++=(?!>)\s*+)?+|=\s*+){_FUNC}"
     rf"|{_NO}(?:(?:public|private|protected|static|override|readonly|abstract|async|get|set)\s++(?![(:=;]))*+\*?+\s*+{_NO}(?P<m>\#?+[\w$]++)\s*+\??+\s*+(?:<[^>{{}}]*+>)?+\s*+{_ARGS}{_TYPE}\{{)"
 )
 SIGNATURE = {
@@ -229,19 +232,56 @@ def _template_end(text: str, pos: int, scan: re.Pattern, code: re.Pattern) -> in
                 depth -= 1
 
 
-def _body_end_braces(bare: str, at: int) -> int:
-    """Behind the brace that closes the first one opened from ``at`` on (or behind the ; or line without one)."""
-    depth = 0
-    for m in re.compile(r"[{};]").finditer(bare, at):
+def brace_ends(bare: str) -> tuple[list[int], list[int]]:
+    """Places of all braces and semicolons, and behind where each opened brace is closed; one pass, with a stack."""
+    places, ends, open_ = [], [], []
+    for m in re.finditer(r"[{};]", bare):
+        places.append(m.start())
+        ends.append(m.end())
         if m[0] == "{":
-            depth += 1
-        elif m[0] == "}":
-            depth -= 1
-            if depth <= 0:
-                return m.end()
-        elif not depth:
-            return m.end()
-    return len(bare)
+            open_.append(len(ends) - 1)
+        elif m[0] == "}" and open_:
+            ends[open_.pop()] = m.end()
+    for k in open_:  # never closed
+        ends[k] = len(bare)
+    return places, ends
+
+
+_CLOSERS = re.compile(r"[()\[\]{}]")
+
+
+def indent_ends(bare: list[str], raw: list[str]) -> list[int]:
+    """For each line of code the last line (1-based) of what is indented deeper than it; one pass, with a stack.
+
+    Lines inside brackets or strings that go on indent nothing. Comments belong to what they are indented deeper than.
+    """
+    ends = list(range(1, len(bare) + 1))
+    open_: list[tuple[int, int]] = []  # (indent, line) of the lines that may still have something below them
+    tail: list[tuple[int, int]] = []  # comments behind the last code, and their indents
+    last, depth = 0, 0
+
+    def close(indent: int) -> None:
+        while open_ and open_[-1][0] >= indent:
+            deep, line = open_.pop()
+            ends[line] = max([last, *(k for d, k in tail if d > deep)], default=last)
+
+    for k, line in enumerate(bare):
+        if not line.strip():
+            if depth:
+                last = k + 1
+            elif raw[k].strip():
+                tail.append((len(raw[k]) - len(raw[k].lstrip()), k + 1))
+            continue
+        if not depth:
+            indent = len(line) - len(line.lstrip())
+            close(indent)
+            open_.append((indent, k))
+        last = k + 1
+        tail.clear()
+        for c in _CLOSERS.findall(line):
+            depth += 1 if c in "([{" else -1 if depth else 0
+    close(-1)
+    return ends
 
 
 def _header_end_python(bare: str, at: int) -> int:
@@ -260,7 +300,15 @@ def functions(text: str, lang: str) -> Iterator[tuple[str, int, int, str, str, l
     bare, comments, strings = blank(text, lang)
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     lines = bare.split("\n")
-    raw = None
+    if lang == "python":
+        raw = text.split("\n")
+        code = list(lines)
+        for a, b in strings:  # lines that a string goes on into are no lines of their own
+            for k in range(bisect_right(starts, a), bisect_right(starts, b - 1)):
+                code[k] = ""
+        ends_of = indent_ends(code, raw)
+    else:
+        places, closed = brace_ends(bare)
     line_of = lambda off: bisect_right(starts, off)
     # a comment block: line comments on successive lines that hold nothing else, or one block comment
     ends: dict[int, tuple[int, int, bool]] = {}
@@ -278,22 +326,12 @@ def functions(text: str, lang: str) -> Iterator[tuple[str, int, int, str, str, l
         first = line_of(at)
         if lang == "python":
             head = _header_end_python(bare, m.end())
-            indent = len(m[0]) - len(m[0].lstrip())
-            last = line_of(head)
-            k = last
-            while k < len(lines):
-                line = lines[k]
-                if raw is None:
-                    raw = text.split("\n")
-                if line.strip() and len(line) - len(line.lstrip()) <= indent and not _inside(strings, string_starts, starts[k]):
-                    break
-                if line.strip() or raw[k].strip() and len(raw[k]) - len(raw[k].lstrip()) > indent:
-                    last = k + 1
-                k += 1
+            last = ends_of[first - 1]
             end = starts[last] if last < len(starts) else len(text)
         else:
             head = m.end()
-            end = _body_end_braces(bare, m.end() - 1 if bare[m.end() - 1] in "{;" else m.end())
+            k = bisect_left(places, m.end() - 1 if bare[m.end() - 1] in "{;" else m.end())
+            end = closed[k] if k < len(closed) else len(bare)
             last = line_of(max(at, end - 1))
         docs = []
         comment = _comment_above(text, lines, ends, starts, first)
@@ -305,16 +343,13 @@ def functions(text: str, lang: str) -> Iterator[tuple[str, int, int, str, str, l
                 a, b = strings[j]
                 before = bare[head:a]
                 if not before.strip() and text[a] in "\"'" or not before.strip(" \t\n\\rRuU") and before.strip() in ("r", "R", "u", "U"):
-                    tail = bare[b:].lstrip(" \t")
-                    if tail[:1] in ("", "\n", ";", "\r"):
+                    if _DOCSTRING_END.match(bare, b):
                         docs.append(strip_quotes(text[a:b]))
         signature = " ".join(text[at:head].split())
         yield name, first, last, signature.rstrip("{:; "), text[at:end].rstrip(), docs
 
 
-def _inside(spans: list[tuple[int, int]], begins: list[int], at: int) -> bool:
-    j = bisect_right(begins, at) - 1
-    return j >= 0 and spans[j][0] < at < spans[j][1]
+_DOCSTRING_END = re.compile(r"[ \t]*(?:[\n;\r]|\Z)")
 
 
 def _comment_above(text: str, lines: list[str], ends: dict, starts: list[int], first: int) -> str | None:

@@ -107,6 +107,29 @@ def test_pairs_by_language():
     assert got("javascript", f"/** {d} */\nfunction f( {{\n") == []  # it does not parse
 
 
+def test_functions_bound_to_fields_properties_and_variables():
+    d = "// Keeps at most one open handle per user.\n"
+    text = (
+        f"class A {{\n{d}handler = (e) => {{ f(e) }}\n{d}static async run(a) {{ }}\n{d}private_ = async function () {{ }}\n}}\nconst o = {{\n{d}run: function (a) {{ }},\n{d}walk: async (a) => a,\n{d}size: 12,\n}};\n"
+        f"{d}let go = async (a) => a;\n{d}module.exports.stop = function () {{ }};\n{d}var x = call((a) => a);\n{d}A.prototype.end = (a) => a;\n{d}this.limit = 12;\n"
+    )
+    assert [n for n, *_ in docpairs.documented(text, "javascript")] == ["handler", "run", "private_", "run", "walk", "go", "stop", "end"]
+    assert [n for n, *_ in docpairs.documented(f"class A {{\n{d}private readonly handler: (e: B) => void = (e: B): void => {{ f(e) }}\n{d}readonly size: number = 12;\n}}\n", "typescript")] == ["handler"]
+
+
+def test_comment_above_a_high_stack_of_decorators():
+    for n in (1, 40, 400):
+        text = "# Keeps at most one open handle per user.\n" + "@dec(\n    1)\n" * n + "def f():\n    pass\n"
+        assert [(name, at) for name, at, *_ in docpairs.documented(text, "python")] == [("f", 2 * n + 2)]
+
+
+def test_bodies_end_where_blocks_end():
+    py = "def a(\n    x,\n):\n    y = (\n1,\n)\n    def b():\n        return \'\'\'\nz\n\'\'\'\n        # tail of b\n    # tail of a\n\n# none\nc = 1\n"
+    assert {n: (a, b) for n, a, b, *_ in docpairs.functions(py, "python")} == {"a": (1, 12), "b": (7, 11)}
+    js = "function a() {\n  if (x) { y() }\n  function b() {\n    return '}'\n  }\n}\nfunction c() {"
+    assert {n: (a, b) for n, a, b, *_ in docpairs.functions(js, "javascript")} == {"a": (1, 6), "b": (3, 5), "c": (7, 7)}
+
+
 def test_pairs_table(spark):
     doc = "# Keeps at most one open handle per user.\n"
     rows = [("w", "a.py", doc + "def f():\n    pass\n", "x"), ("w", "a.py", doc + "def f():\n    pass\n", "x"), ("w", "b.py", None, "x"), ("w", "c.md", doc, "x"), ("w", "d.py", (doc + "def f():\n    pass\n\n") * 3000, "x")]
