@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from corpuscle.operators import incremental
-from corpuscle.operators.ledger import Ledger, StaleLease, run_ledger
+from corpuscle.operators.ledger import Ledger, LostOutput, Runs, StaleLease, run_ledger
 from corpuscle.session import shared_dir
 
 LISTING = "ws string, rel string, size bigint, mtime double, hash string, gone boolean, facade string, seen_at timestamp, arrived_at timestamp"
@@ -90,3 +90,76 @@ def test_a_run_that_died_is_taken_up(spark):
     assert sorted(r["k"] for r in out.collect()) == list(range(1000))
     assert seen.count((0,)) == 1 and seen.count((1,)) == 2  # only the unit that was not completed came again
     assert run_ledger(None, ["k"], process, root, spark).count() == 1000  # nothing is left to do
+
+
+def test_a_lease_is_renewed_while_it_is_held(spark):
+    now = [0.0]
+    led = Ledger(spark, shared_dir(spark, "t"), clock=lambda: now[0])
+    led.seed(1)
+    a = led.lease(10)
+    now[0] = 8
+    led.renew(a, 10)
+    now[0] = 15
+    assert led.lease(10) is None
+    now[0] = 19
+    led.lease(10)
+    with pytest.raises(StaleLease):
+        led.renew(a, 10)
+
+
+def test_lost_output_is_an_error_and_can_be_made_again(spark):
+    import shutil
+
+    root = shared_dir(spark, "t")
+    items = spark.range(100).withColumnRenamed("id", "k")
+    process = lambda df: df.select("unit", "k").where("k <> 7")
+    assert run_ledger(items, ["k"], process, root, spark, rows_per_unit=25).count() == 99
+    led = Ledger(spark, root)
+    token = led.states()[2][1]
+    shutil.rmtree(f"{root.removeprefix('file:')}/out/token={token}/unit=2")
+    with pytest.raises(LostOutput):
+        run_ledger(None, ["k"], process, root, spark)
+    led.reopen(led.lost())
+    assert run_ledger(None, ["k"], process, root, spark).count() == 99
+    assert run_ledger(items.limit(0), ["k"], process, shared_dir(spark, "t"), spark).count() == 0
+
+
+def feed(spark, rows):
+    return spark.createDataFrame([("w", r, 1, 1.0, h, g, "f", t(a), t(b)) for r, h, g, a, b in rows], LISTING)
+
+
+def test_runs_follow_each_other_on_one_root(spark):
+    root, files = shared_dir(spark, "t"), spark.createDataFrame([("w", "old", 1, 1.0, "AB"), ("w", "same", 1, 1.0, "AB")], FILE)
+    got = lambda rows, **o: sorted(r["rel"] for r in incremental.process_changes(spark, feed(spark, rows), files, root, **o).collect())
+    one = [("old", "CD", False, 10, 10), ("same", "AB", False, 10, 10), ("new", "01", False, 10, 11)]
+    assert incremental.last_success(spark, root) is None
+    assert got(one) == ["new", "old"]
+    assert incremental.last_success(spark, root) == "2031-01-01 00:11:00"
+    assert got(one) == []  # nothing came since
+    two = [("old", "EF", False, 20, 20), ("same", "FF", False, 5, 20), ("late", "02", False, 3, 12), ("new", "01", False, 21, 21), ("same", "AB", True, 22, 22)]
+    # changed again; an older state that comes late; a new file that comes late; the same once more; gone
+
+    def die(lease):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        got(one + two, fail_after=die, lease_s=0.0)
+    assert incremental.last_success(spark, root) == "2031-01-01 00:11:00"
+    three = [("same", "AB", False, 30, 30), ("next", "03", False, 30, 30)]
+    assert got(one + two + three) == ["late", "old"]  # the run that failed is taken up; what came meanwhile waits
+    assert incremental.last_success(spark, root) == "2031-01-01 00:22:00"
+    assert got(one + two + three) == ["next", "same"]  # back again after it was gone
+    assert got(one + two + three + [("late", "02", False, 31, 31)]) == []
+    assert Runs(spark, root).head()[1]["run"] == 5
+
+
+def test_two_planners_make_one_run(spark):
+    runs = Runs(spark, shared_dir(spark, "t"))
+    inner = []
+
+    def plan(folder, left):
+        if not inner:
+            inner.append(Runs(spark, runs.root).begin(lambda f, l: {"by": "other"}))
+        return {"by": "me"}
+
+    assert runs.begin(plan)["left"] == {"by": "other"} == inner[0]["left"]
