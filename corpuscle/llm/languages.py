@@ -38,7 +38,7 @@ ar ara arabic|bg bul bulgarian|ca cat catalan|cs ces cze czech|da dan danish|de
 """
 CODES = {w: e.split()[0] for e in NAMES.replace("\n", "").split("|") for w in e.split()}
 
-BUCKETS, DIM, RATE, EPOCHS = 1 << 16, 16, 40.0, 5
+BUCKETS, DIM, RATE, EPOCHS = 1 << 16, 16, 40.0, 5  # buckets of 16 bits
 GRAMS = (1, 2, 3)
 
 
@@ -73,17 +73,23 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]")
 _SYMBOL = re.compile(r"[{}=;<>_\\|&$@^~\[\]]")
 
 
+#: Without any of these nothing is taken out by _DROP.
+_MAY_DROP = re.compile(r"[`\"“«„\[/\\@_#<]|\w\(|--|[a-z][A-Z]|[A-Za-z0-9+=-]{32}")
+_DIGIT = re.compile(r"\d")
+_ODD = re.compile(r"(?<!\S)(?:\S{1,2}(?!\S)|[^\s\d]*\d\S*)")
+
+
 def _dump(text: str) -> bool:
     """Hexadecimal and other dumps: half of the tokens hold a digit or are shorter than three letters."""
-    tokens = text.split()
-    return sum(len(t) < 3 or any(c.isdigit() for c in t) for t in tokens) > 0.5 * len(tokens) and any(any(c.isdigit() for c in t) for t in tokens)
+    return _DIGIT.search(text) is not None and len(_ODD.findall(text)) > 0.5 * len(text.split())
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, cleaned text) of every whole sentence that is long enough to count."""
     if not text or not text.strip():
         return []
-    text = _FENCE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     out, at = [], 0
     for line in text.split("\n"):
         begin, at = at, at + len(line) + 1
@@ -98,8 +104,8 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
                 continue
             start = begin + line.find(part, pos)
             pos = start - begin + len(part)
-            bare = _DROP.sub(" ", part)
-            cjk = len(_CJK.findall(bare))
+            bare = _DROP.sub(" ", part) if _MAY_DROP.search(part) else part
+            cjk = 0 if bare.isascii() else len(_CJK.findall(bare))
             n = len(_WORD.findall(bare))
             if cjk * 2 >= len(bare.strip()) and cjk:
                 if cjk < 10:
@@ -192,6 +198,15 @@ class Model:
         return ok
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
+        return self.softmax(self.logits(texts), self._possible(texts))
+
+    def softmax(self, logits: np.ndarray, possible: np.ndarray) -> np.ndarray:
+        z = logits / self.temperature
+        z -= z.max(1, keepdims=True, initial=-np.inf)
+        e = np.exp(z) * possible
+        return e / np.maximum(e.sum(1, keepdims=True), 1e-30)
+
+    def logits(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.langs)), np.float32)
         at = 0
         while at < len(texts):
@@ -207,11 +222,7 @@ class Model:
                 if full.any():
                     sums[full] += np.add.reduceat(self.scores[b], first[:-1][full], axis=0)
                 n += k
-            z = (sums / np.maximum(1, n)[:, None] + self.bias) / self.temperature
-            z -= z.max(1, keepdims=True)
-            e = np.exp(z)
-            e *= self._possible(texts[at:end])
-            out[at:end] = e / np.maximum(e.sum(1, keepdims=True), 1e-30)
+            out[at:end] = sums / np.maximum(1, n)[:, None] + self.bias
             at = end
         return out
 
@@ -228,24 +239,25 @@ def _sgd(feats, y: np.ndarray, classes: int, epochs: int, rate: float, seed: int
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(n), -(-n // size)):
             lens = first[batch + 1] - first[batch]
+            share = (1 / lens).astype(np.float32)[:, None]
             idx = np.concatenate([b[first[i] : first[i + 1]] for i in batch])
             at = np.concatenate([[0], np.cumsum(lens)[:-1]])
-            x = np.add.reduceat(emb[idx], at, axis=0) / lens[:, None]
+            x = np.add.reduceat(emb[idx], at, axis=0) * share
             z = x @ w + bias
             z -= z.max(1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(batch)), y[batch]] -= 1
             lr = rate * (1 - step / steps)
-            gx = (p @ w.T) / lens[:, None]
+            gx = (p @ w.T) * share
             w -= lr * 0.05 / len(batch) * (x.T @ p)
             bias -= lr * 0.05 / len(batch) * p.sum(0)
-            order = np.argsort(idx, kind="stable")
+            order = np.argsort(idx.astype(np.uint16), kind="stable")  # of 16 bits, so it is a radix sort
             owner = np.repeat(np.arange(len(batch)), lens)[order]
             s = idx[order]
             cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             often = np.diff(np.concatenate([cuts, [len(s)]]))
-            emb[s[cuts]] -= lr * np.add.reduceat(gx[owner], cuts, axis=0) / np.sqrt(often)[:, None]
+            emb[s[cuts]] -= lr * np.add.reduceat(gx[owner], cuts, axis=0) / np.sqrt(often.astype(np.float32))[:, None]
             step += 1
     return emb, w, bias
 
@@ -304,15 +316,15 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 def _calibrated(model: Model, texts: list[str], y: np.ndarray, precision: float = 0.995) -> Model:
     """Temperature by held-out likelihood; the threshold is the least that gives the precision, within 0.5 and 0.98."""
-    best = None
+    best, logits, possible = None, model.logits(texts), model._possible(texts)
     for t in (0.1, 0.15, 0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0):
         model.temperature = t
-        p = model.probabilities(texts)
+        p = model.softmax(logits, possible)
         loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-9)).mean()
         if best is None or loss < best[0]:
             best = (loss, t)
     model.temperature = best[1]
-    p = model.probabilities(texts)
+    p = model.softmax(logits, possible)
     conf, right = p.max(1), p.argmax(1) == y
     order = np.argsort(-conf)
     rate = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
