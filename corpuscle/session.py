@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,18 +35,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder that every executor can reach.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that every executor can reach: ``spark.checkpoint.dir`` where the session names one.
 
-    It lies in ``spark.checkpoint.dir`` where the session names one. Where the setting is missing (tests, a
-    laptop) a temporary folder is used, which is right only because driver and executors share a machine then.
+    Where the setting is missing (tests, a laptop) a temporary folder is used, which is right only because driver and
+    executors share a machine then.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "corpuscle-shared")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+_OWN: dict[str, SparkSession] = {}
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder below :func:`shared_base` for tables that are of use to this application only.
+
+    They lie in one folder of the application, which is deleted when the driver ends (or by :func:`clean`).
+    """
+    own = f"{shared_base(spark)}/corpuscle-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        if not _OWN:
+            atexit.register(clean)
+        _OWN[own] = spark
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def clean() -> None:
+    """Delete the folders of this driver's applications. Frames that read from them can not be evaluated afterwards."""
+    for own, spark in list(_OWN.items()):
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session is gone; a folder of this machine can still be deleted
+            if "://" not in own:
+                shutil.rmtree(own.removeprefix("file:"), ignore_errors=True)
+        _OWN.pop(own, None)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

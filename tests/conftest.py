@@ -12,10 +12,11 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from corpuscle.session import local_session
+    from corpuscle.session import clean, local_session
 
     s = local_session(cores=4, app="tests", memory="4g")
     yield s
+    clean()
     s.stop()
 
 
