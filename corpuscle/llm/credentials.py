@@ -751,3 +751,25 @@ def redact(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["ws", "rel", "values", "content"])
 
     return spread(files.select("ws", "rel", "content").where("content IS NOT NULL")).mapInPandas(run, "ws string, rel string, values int, content string")
+
+
+def audit(files: DataFrame) -> DataFrame:
+    """(ws, rel, changed, left) of every file with content: lines that hold no value and yet are not the same behind the
+    redaction (or a number of lines that differs), and values that are found in the redacted content."""
+
+    def check(text: str, rel: str) -> tuple[int, int]:
+        t, spans = Text(text, rel), find(text, rel)
+        if not spans:
+            return 0, 0
+        made, _ = redact_text(text, rel)
+        held = {n for a, b, *_ in spans for n in range(t.line(a), t.line(b - 1) + 1)}
+        before, after = text.split("\n"), made.split("\n")
+        changed = abs(len(before) - len(after)) + sum(x != y and n not in held for n, (x, y) in enumerate(zip(before, after), 1))
+        return changed, len(lines_found(made, rel))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(ws, rel, *check(text, rel or "")) for ws, rel, text in pdf.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["ws", "rel", "changed", "left"])
+
+    return spread(files.select("ws", "rel", "content").where("content IS NOT NULL")).mapInPandas(run, "ws string, rel string, changed int, `left` int")

@@ -15,6 +15,7 @@ labelled with a known language, nothing can be trained and no text has a languag
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -22,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import shared_base, spread
 
 # fixed values: ISO 639-1 code, ISO 639-2 and -3 codes, English names
 NAMES = """
@@ -38,6 +40,8 @@ ar ara arabic|bg bul bulgarian|ca cat catalan|cs ces cze czech|da dan danish|de
 """
 CODES = {w: e.split()[0] for e in NAMES.replace("\n", "").split("|") for w in e.split()}
 
+VERSION = 1  # of the training, to be raised with it
+STORED = "langs array<string>, scores binary, bias binary, temperature double, threshold double"
 BUCKETS, DIM, RATE, EPOCHS = 1 << 16, 16, 40.0, 5  # buckets of 16 bits
 GRAMS = (1, 2, 3)
 
@@ -336,29 +340,45 @@ def _calibrated(model: Model, texts: list[str], y: np.ndarray, precision: float
 def sample_sentences(documents: DataFrame, per_language: int = 120, most_chars: int = 4000) -> list[tuple[str, str]]:
     """Sentences of a bounded sample: about ``per_language`` documents of each labelled language, by hash of their id.
 
-    The counts by label cover all documents; only the sample's texts, and of those ``most_chars`` characters, leave the
-    executors. It is at most a few thousand documents however many there are.
+    The counts by label cover all documents and all spellings; only the sample's texts, and of those ``most_chars``
+    characters, leave the executors. It is at most a few thousand documents however many there are.
     """
-    labels = documents.groupBy("lang").agg(F.count("*").alias("n"))
-    counts = [(r["lang"], r["n"]) for r in labels.where(F.length("lang") < 40).orderBy(F.desc("n"), "lang").limit(2000).collect()]
-    total: dict[str, int] = {}
-    for label, n in counts:
-        if code := label_code(label):
-            total[code] = total.get(code, 0) + n
+
+    @F.pandas_udf("string")
+    def code_of(labels: pd.Series) -> pd.Series:
+        return labels.map(label_code)
+
+    spelt = documents.groupBy("lang").agg(F.count("*").alias("n"))
+    total = {r["code"]: r["n"] for r in spelt.groupBy(code_of("lang").alias("code")).agg(F.sum("n").alias("n")).where("code IS NOT NULL").collect()}  # one row a language
     if not total:
         return []
-    share = F.lit(0)
-    scale = 1 << 20
+    share, scale = F.lit(0), 1 << 20
     for code in sorted(total):
-        spellings = [label for label, _ in counts if label_code(label) == code]
-        share = F.when(F.col("lang").isin(spellings), F.lit(int(scale * min(1.0, per_language / total[code])))).otherwise(share)
-    picked = documents.where(F.col("text").isNotNull()).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(scale))).where(F.col("_h") < share)
-    rows = picked.select("lang", F.substring("text", 1, most_chars).alias("text"), "_h").orderBy("_h", "lang").limit(per_language * 3 * len(total)).collect()
+        share = F.when(F.col("_code") == code, F.lit(int(scale * min(1.0, per_language / total[code])))).otherwise(share)
+    picked = documents.where("text IS NOT NULL").select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(scale)).alias("_h"), code_of("lang").alias("_code")).where(F.col("_h") < share)
+    rows = picked.select("lang", F.substring("text", 1, most_chars).alias("text"), "_h").orderBy("_h", "lang", "text").limit(per_language * 3 * len(total)).collect()
     return [(s, code) for r in rows if (code := label_code(r["lang"])) for _, _, s in sentences(r["text"])[:12]]
 
 
 def fit(documents: DataFrame, per_language: int = 120) -> Model:
-    return train(sample_sentences(documents, per_language))
+    """The model of a corpus. It is a function of its sample alone, so it is stored in the shared folder under the digest
+    of that and trained once, however many queries, sessions and drivers ask for it."""
+    rows = sample_sentences(documents, per_language)
+    spark = documents.sparkSession
+    digest = hashlib.sha1(repr((VERSION, BUCKETS, DIM, RATE, EPOCHS, GRAMS, rows)).encode("utf-8", "surrogatepass")).hexdigest()
+    path = f"{shared_base(spark)}/corpuscle-models/language-{digest}"
+    try:
+        stored = spark.read.schema(STORED).parquet(path).collect()
+    except AnalysisException:  # not trained yet
+        stored = []
+    if len(stored) == 1:
+        r = stored[0]
+        scores = np.frombuffer(bytes(r["scores"]), np.float32).reshape(BUCKETS, -1)
+        return Model(list(r["langs"]), scores, np.frombuffer(bytes(r["bias"]), np.float32), r["temperature"], r["threshold"])
+    m = train(rows)
+    row = (m.langs, bytearray(m.scores.tobytes()), bytearray(m.bias.astype(np.float32).tobytes()), float(m.temperature), float(m.threshold))
+    spark.createDataFrame([row], STORED).coalesce(1).write.mode("overwrite").parquet(path)
+    return m
 
 
 def segments_of(text: str, model: Model, probabilities: np.ndarray, found: list) -> list[tuple[int, int, str, float, int]]:

@@ -77,14 +77,16 @@ def minimum_bin_slack(histogram: dict[int, int], capacity: int) -> list[tuple[in
     return out
 
 
-def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens", buckets: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens", rows_per_bucket: int = 250_000) -> DataFrame:
     """(key, piece_no, n_pieces, start_tok, size, container_id) for each piece of each item in ``sizes``.
 
     ``sizes`` is read twice, so it should be a written table. Numbering within a size is done per (size, hash bucket)
-    with bucket offsets, so a size that a third of all items share is spread over ``buckets`` tasks. What is sent to
-    the executors is the list of combinations, bounded by the capacity alone.
+    with bucket offsets; there are as many buckets as the number of items asks for, so even a size that all of them share
+    is numbered in parts of about ``rows_per_bucket``. Items of size 0 are not numbered at all. What is sent to the
+    executors is the list of combinations, bounded by the capacity alone.
     """
     spark = sizes.sparkSession
+    buckets = max(64, -(-sizes.count() // rows_per_bucket))  # a count of a written table, read from its footers
     items = sizes.select(F.col(key), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_n"))
     n = F.col("_n")
     full = F.floor(F.greatest(n - 1, F.lit(0)) / capacity)  # pieces before the rest; 0 for what is not split
@@ -106,7 +108,7 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     before = Window.partitionBy("_rest").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bucket.select("_rest", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
     inner = Window.partitionBy("_rest", "_b").orderBy(key)
-    numbered = items.withColumn("_i", F.row_number().over(inner) - 1).join(offsets, ["_rest", "_b"], "left")
+    numbered = items.where("_rest > 0").withColumn("_i", F.row_number().over(inner) - 1).join(offsets, ["_rest", "_b"], "left")
     numbered = numbered.withColumn("_no", F.col("_i") + F.coalesce("_o", F.lit(0)))
 
     @F.pandas_udf("bigint")
@@ -123,7 +125,8 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
                     out[at] = first[j] + (no[at] - begin[j]) // copies[j]
             yield pd.Series(out)
 
-    rests = numbered.select(key, F.col("_full"), F.col("_rest"), place("_rest", "_no").alias("container_id"))
+    nothing = items.where("_rest = 0").select(key, F.col("_full"), F.col("_rest"), F.lit(0).cast("bigint").alias("container_id"))
+    rests = numbered.select(key, F.col("_full"), F.col("_rest"), place("_rest", "_no").alias("container_id")).unionByName(nothing)
     # full pieces have containers of their own, numbered from the last of the rests on
     whole = items.where("_full > 0")
     per = materialise(whole.groupBy("_b").agg(F.sum("_full").alias("_c")), "full")

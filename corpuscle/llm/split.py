@@ -6,8 +6,8 @@ reach within the limit. The successor table is then squared again and again; aft
 2**k members, so all greedy cuts of an item with m boundaries come out of about log2(m) array operations.
 
 Cases: null content is not split and gives no row; content of exactly the limit is not too large. A limit that is null
-or below one means no limit. An overlap that is null or negative counts as 0, and one of half the limit or more is
-reduced to half the limit less one, as pieces must advance. ``symbols`` may be null, empty or wrong: line numbers
+or below one means no limit. An overlap that is null or negative counts as 0; one that is not below its limit is refused
+with an error, as no piece could advance. A cut falls between CR and LF only where limit less overlap is below 3. ``symbols`` may be null, empty or wrong: line numbers
 outside the file are ignored. Equal (ws, rel, content) rows count once. Limits beyond one row for a language: the
 smallest holds. Extra columns are ignored.
 """
@@ -58,11 +58,12 @@ def boundaries(cp: np.ndarray, starts: np.ndarray, symbol_lines, step: int) -> l
         a, b = starts[i], ends[i]
         blank.append(a + 1 + np.flatnonzero((cp[a : b - 1] == 32) | (cp[a : b - 1] == 9)))
         grid = np.arange(a + step, b, step)
-        grid -= (cp[grid] == 10) & (cp[grid - 1] == 13)  # never between CR and LF
+        if step > 2:
+            grid -= (cp[grid] == 10) & (cp[grid - 1] == 13)  # not between CR and LF
         hard.append(grid)
         if b - a > step:  # a grid of half steps lets every blank reach a successor
             half = np.arange(a + max(1, step // 2), b, step)
-            hard.append(half - ((cp[half] == 10) & (cp[half - 1] == 13)))
+            hard.append(half - ((cp[half] == 10) & (cp[half - 1] == 13)) if step > 2 else half)
     cat = lambda xs: np.unique(np.concatenate(xs)) if xs else np.zeros(0, np.int64)
     return [symbol[symbol > 0], lines[lines > 0], cat(blank), cat(hard)]
 
@@ -87,9 +88,8 @@ def greedy_cuts(n: int, kinds: list[np.ndarray], limit: int, overlap: int) -> tu
     end = len(every) - 1
     succ[reach >= n] = end
     succ[end] = end
-    lost = np.flatnonzero(succ < 0)
-    if len(lost):  # can not happen with boundaries(); the neighbour is always legal to move to
-        succ[lost] = lost + 1
+    if (succ < 0).any():  # can not happen with boundaries()
+        raise ValueError("a boundary has no legal successor")
     path, hop = np.zeros(1, np.int64), succ
     while path[-1] != end:
         path = np.concatenate([path, hop[path]])
@@ -101,7 +101,7 @@ def greedy_cuts(n: int, kinds: list[np.ndarray], limit: int, overlap: int) -> tu
 def split_one(text: str, symbol_lines, limit: int, overlap: int) -> tuple[list[tuple[int, int, int, str]], np.ndarray]:
     """(start, end, cut, kind of the cut at the end) of each piece, and the lines that alone are too long."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    overlap = min(max(0, overlap), max(0, limit // 2 - 1))
+    overlap = max(0, overlap)
     starts = line_starts(cp)
     step = max(1, limit - overlap)
     cuts, kinds = greedy_cuts(len(cp), boundaries(cp, starts, symbol_lines, step), limit, overlap)
@@ -119,6 +119,8 @@ def read_limits(limits: DataFrame, item: str, unit: str) -> dict[str, tuple[int,
     out: dict[str, tuple[int, int]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"] or "*", -(r["max_size"] or 0))):
         if r["max_size"] is not None and r["max_size"] >= 1:
+            if (r["overlap"] or 0) >= r["max_size"]:
+                raise ValueError(f"size limit of {r['lang']}: an overlap of {r['overlap']} is not below {r['max_size']}")
             out[r["lang"] or "*"] = (int(r["max_size"]), int(r["overlap"] or 0))
     return out
 
@@ -128,7 +130,7 @@ def split_oversized(files: DataFrame, limits: DataFrame) -> DataFrame:
 
     The size test runs in the JVM, so only oversized content is shuffled (to drop repeated rows and to spread large
     files) and reaches Python. ``text`` of a piece is content[start_off:end_off]; ``cut_at`` is where the part that no
-    earlier piece holds begins; ``long_lines`` are the lines that alone exceed the limit, the same in each row.
+    earlier piece holds begins; ``long_lines`` are the lines that alone exceed the limit, given with piece 0 only.
     """
     by_lang = read_limits(limits, "file", "chars")
     size = lap = F.lit(None).cast("bigint")
@@ -157,7 +159,7 @@ def split_oversized(files: DataFrame, limits: DataFrame) -> DataFrame:
                 found, wide = split_one(text, [] if sym is None else list(sym), int(limit), int(overlap))
                 wide = wide.astype(np.int32)
                 for i, (a, b, cut, kind) in enumerate(found):
-                    rows.append((ws, rel, len(text), i, len(found), a, b, cut, kind, text[a:b], wide))
+                    rows.append((ws, rel, len(text), i, len(found), a, b, cut, kind, text[a:b], wide if i == 0 else None))
             yield pd.DataFrame(rows, columns=names)
 
     return big.mapInPandas(pieces, PIECES)

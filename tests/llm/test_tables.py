@@ -35,7 +35,7 @@ def test_documents_with_odd_rows(spark):
 
 
 def test_files_with_odd_rows(spark):
-    limits = spark.createDataFrame([("file", "*", "chars", 100, 10), ("file", "python", "chars", 50, 60), ("file", "json", "chars", None, 0), ("file", "*", "tokens", 1, 0)], "item string, lang string, unit string, max_size bigint, overlap bigint")
+    limits = spark.createDataFrame([("file", "*", "chars", 100, 10), ("file", "python", "chars", 50, 40), ("file", "json", "chars", None, 0), ("file", "*", "tokens", 1, 0)], "item string, lang string, unit string, max_size bigint, overlap bigint")
     rows = [("w", "a.txt", "x" * 100, None), ("w", "b.txt", "x" * 101, None), ("w", "b.txt", "x" * 101, None), ("w", "c.txt", None, None), (None, "d.py", "ab\n" * 40, [(None, 5), ("f", 10), ("g", 99)]), ("w", "e.json", "1" * 500, None)]
     df = spark.createDataFrame([(a, b, c, [{"name": n, "line_start": k} for n, k in d] if d else None, 1) for a, b, c, d in rows], "ws string, rel string, content string, symbols array<struct<name:string,line_start:int>>, max_size int")
     got = {}
@@ -46,7 +46,11 @@ def test_files_with_odd_rows(spark):
         text = next(c for _, b, c, _ in rows if b == rel)
         pieces.sort(key=lambda r: r["piece_no"])
         assert "".join(text[p["cut_at"] : p["end_off"]] for p in pieces) == text and all(p["text"] == text[p["start_off"] : p["end_off"]] for p in pieces)
+    assert all(p["cut_at"] - p["start_off"] == min(40 if p["rel"] == "d.py" else 10 if p["rel"] == "b.txt" else 10, p["cut_at"]) for ps in got.values() for p in ps)
+    assert all((p["long_lines"] is None) == (p["piece_no"] > 0) for ps in got.values() for p in ps)
     assert split.split_oversized(df.limit(0), limits).count() == 0
+    with pytest.raises(ValueError, match="overlap"):
+        split.split_oversized(df, limits.selectExpr("item", "lang", "unit", "max_size", "max_size AS overlap"))
 
 
 def test_labels():
