@@ -88,7 +88,8 @@ class Matcher:
         """1-based place of the first match in code points."""
         if self.literal is not None:
             return F.instr(F.lower(line) if self.ignore_case else line, self.literal.lower() if self.ignore_case else self.literal)
-        return F.length(F.regexp_extract(line, f"(?s)^(.*?)(?:{self.regex})", 1)) + 1
+        # no group is added around the pattern, so back references keep their numbers
+        return F.when(line.rlike(rf"\A(?:{self.regex})"), 1).otherwise(F.length(F.split(line, self.regex, 2)[0]) + 1)
 
     def all(self, line: Column) -> Column:
         """Every match as a string."""

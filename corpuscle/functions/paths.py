@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ext_of
 
-TEXT_MAX = 512 * 1024
+TEXT_MAX = 512 * 1024  # the default; ``is_textual`` and the sources take another, or None for no limit
 
 # fixed values: extensions by language
 EXT_LANGS = {
@@ -33,6 +33,7 @@ PRUNE_DOT_DIRS = (
     ".vs .terraform .serverless .yarn .pnpm-store .expo"
 ).split()
 TRANSIENT = r"(^|/)\.corpuscle-tmp-|\.corpuscle-lock$"
+# fixed values: reasons, as stored
 OPAQUE_SECRET = "may hold credentials — hashed, never read"
 OPAQUE_OTHER = "binary or oversized — hashed, not read"
 
@@ -49,10 +50,10 @@ def is_secret(rel: Column) -> Column:
     return F.regexp_replace(rel, r"\\", "/").rlike("(?i)" + "|".join(f"(?:{p})" for p in SECRET_PATTERNS))
 
 
-def is_textual(rel: Column, size: Column | None = None) -> Column:
-    """Textual by name, not secret, and not too large; an unknown size passes."""
+def is_textual(rel: Column, size: Column | None = None, most: int | None = TEXT_MAX) -> Column:
+    """Textual by name, not secret, and of at most ``most`` bytes; an unknown size passes."""
     known = ext_of(rel).isin([*LANG_OF_EXT, *TEXT_EXT])
-    small = F.lit(True) if size is None else F.coalesce(size <= TEXT_MAX, F.lit(True))
+    small = F.lit(True) if size is None or most is None else F.coalesce(size <= most, F.lit(True))
     return known & ~is_secret(rel) & small
 
 
@@ -97,51 +98,27 @@ def norm(path: Column) -> Column:
 # -- globs
 
 
+#: Kinds of glob tokens, the first that fits, and what each becomes. A brace group is an alternation; one that is never
+#: closed goes on to the end, and a closing brace or a comma outside groups is an ordinary character.
+_GLOB = re.compile(r"(?P<folders>(?:(?<=/)|\A)\*{2,}/)|(?P<rest>\*{2,}\Z)|(?P<some>\*+)|(?P<one>\?)|\[(?P<no>[!^]?)(?P<set>\]?[^\]]*)\]|(?P<group>\{)|(?P<end>\})|(?P<or>,)|\\(?P<quoted>.)|(?P<plain>.)", re.S)
+_GLOB_AS = {"folders": "(?:[^/]*/)*", "rest": ".*", "some": "[^/]*", "one": "[^/]", "group": "(?:", "end": ")", "or": "|"}
+
+
 def glob_body(glob: str) -> str:
     """A glob as a regular expression over a whole path, without anchors."""
-    out, i, depth = [], 0, 0
-    while i < len(glob):
-        c = glob[i]
-        if c == "*":
-            j = i
-            while j < len(glob) and glob[j] == "*":
-                j += 1
-            at_start = i == 0 or glob[i - 1] == "/"
-            if j - i >= 2 and at_start and j < len(glob) and glob[j] == "/":
-                out.append("(?:[^/]*/)*")
-                j += 1
-            elif j - i >= 2 and j == len(glob):
-                out.append(".*")
-            else:
-                out.append("[^/]*")
-            i = j
-            continue
-        if c == "?":
-            out.append("[^/]")
-        elif c == "[":
-            end = glob.find("]", i + 2 if glob[i + 1 : i + 2] in ("!", "^", "]") else i + 1)
-            if end < 0:
-                out.append(r"\[")
-            else:
-                body = glob[i + 1 : end]
-                body = "^" + body[1:] if body[:1] in ("!", "^") else body
-                out.append("[" + body.replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&") + "]")
-                i = end
-        elif c == "{":
-            out.append("(?:")
-            depth += 1
-        elif c == "}" and depth:
-            out.append(")")
-            depth -= 1
-        elif c == "," and depth:
-            out.append("|")
-        elif c == "\\" and i + 1 < len(glob):
-            i += 1
-            out.append(re.escape(glob[i]))
+    made = ""
+    inside = 0
+    for token in _GLOB.finditer(glob):
+        kind = token.lastgroup
+        if kind == "set":
+            chars = token["set"].replace("\\", r"\\").replace("[", r"\[").replace("&&", r"&\&")
+            made += f"[{'^' if token['no'] else ''}{chars}]"
+        elif kind in _GLOB_AS and (inside or kind not in ("end", "or")):
+            made += _GLOB_AS[kind]
+            inside += {"group": 1, "end": -1}.get(kind, 0)
         else:
-            out.append(re.escape(c))
-        i += 1
-    return "".join(out) + ")" * depth
+            made += re.escape(token["quoted"] or token[0])
+    return made + ")" * inside
 
 
 def glob_regex(glob: str) -> str:
@@ -151,17 +128,19 @@ def glob_regex(glob: str) -> str:
     return ("^" if anchored else "^(?:.*/)?") + f"(?:{glob_body(glob.strip('/'))})(?:/.*)?$"
 
 
+_INNERMOST = re.compile(r"\{[^{}]*\}")
+_HIDE = str.maketrans("{},", "\ue000\ue001\ue002")
+_SHOW = str.maketrans("\ue000\ue001\ue002", "{},")
+
+
 def split_list(spec: str) -> list[str]:
-    """Comma-separated globs; commas in braces do not separate."""
-    out, depth, cur = [], 0, ""
-    for c in spec:
-        depth += (c == "{") - (c == "}" and depth > 0)
-        if c == "," and not depth:
-            out.append(cur.strip())
-            cur = ""
-        else:
-            cur += c
-    return [x for x in [*out, cur.strip()] if x]
+    """Comma-separated globs. Brace groups are hidden from the innermost outwards, and what follows an open brace with
+    them, so that only the commas between globs are left to split at."""
+    while _INNERMOST.search(spec):
+        spec = _INNERMOST.sub(lambda m: m[0].translate(_HIDE), spec)
+    head, brace, tail = spec.partition("{")
+    globs = (head + (brace + tail).translate(_HIDE)).split(",")
+    return [g.strip().translate(_SHOW) for g in globs if g.strip()]
 
 
 @dataclass(frozen=True)

@@ -6,11 +6,12 @@ because a distinct over whole contents would shuffle all text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import match, paths, text
 from ..session import table
+from . import ordered
 
 
 def searchable(files: DataFrame) -> DataFrame:
@@ -123,10 +124,10 @@ def addressing(spark: SparkSession, sf: str) -> DataFrame:
 
 def duplicate_names(spark: SparkSession, sf: str) -> DataFrame:
     """Symbols whose name occurs more than once in their workspace, with the ordinal that tells them apart."""
-    s = table(spark, sf, "symbols").select("ws", "file", "name", "path", "line_start").distinct()
-    w = Window.partitionBy("ws", "name")
-    n = s.withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy("file", "line_start", "path")))
-    return n.where("n > 1").select("ws", "file", "line_start", F.concat("name", F.lit(" §"), F.col("i").cast("string")).alias("piece"))
+    s = table(spark, sf, "symbols").where("name IS NOT NULL").select("ws", "file", "name", "path", "line_start").distinct()
+    often = s.groupBy("ws", "name").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    same = ordered.before(s.join(often, ["ws", "name"], "left_semi"), ["ws", "name"], ["file", "line_start", "path"])
+    return same.select("ws", "file", "line_start", F.concat("name", F.lit(" §"), (F.col("before") + 1).cast("string")).alias("piece"))
 
 
 def tokens_df(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,14 +6,16 @@ the literal has no matching line), explosion to lines, the predicate on lines. O
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import match, paths, text
-from ..session import table
-from . import corpus
+from ..session import materialise, table
+from . import corpus, ordered
 
 
 def candidates(files: DataFrame, m: match.Matcher) -> DataFrame:
@@ -70,37 +72,48 @@ class Page:
     next: int | None
 
 
-def assign_pages(counts: list[tuple[str, int]], page: int, max_matches: int, max_files: int, max_per_file: int) -> dict[str, tuple[int, int]]:
-    """rel -> (first match, matches) on a page, from counts in path order.
+def page_rows(counts: Iterable[tuple[str, int]], max_matches: int, max_files: int, max_per_file: int) -> Iterator[tuple[int, str, int, int]]:
+    """(page, file, first match, matches) of every page of an answer, from the counts of its files in path order.
 
-    A page has at most so many matches and files, and so many matches of one file; what a capped file has left over is
-    passed over and belongs to no later page.
+    A page has at most so many matches and files, and so many matches of one file. A file that fills a page goes on
+    alone on the pages behind it; what a file has beyond ``max_per_file`` on a page is passed over.
     """
-    current, room, files, out = 1, max_matches, 0, {}
+    page, matches, files = 1, 0, 0
+    alone = min(max_matches, max_per_file)
     for rel, n in counts:
-        at = 0
-        shown = 0
-        on_page = False
-        while at < n:
-            if room == 0 or not on_page and files == max_files:
-                current, room, files, shown, on_page = current + 1, max_matches, 0, 0, False
-            if not on_page:
-                files, on_page = files + 1, True
-            take = min(room, max_per_file - shown, n - at)
-            if current == page:
-                out[rel] = (at, take)
-            at, room, shown = at + take, room - take, shown + take
-            if shown == max_per_file:
-                break
-        if current > page:
+        if matches == max_matches or files == max_files:
+            page, matches, files = page + 1, 0, 0
+        head = min(n, max_per_file, max_matches - matches)
+        yield page, rel, 0, head
+        matches, files = matches + head, files + 1
+        rest = n - head if head < max_per_file else 0
+        more = min(1, rest) if alone == max_per_file else -(-rest // alone)
+        for k in range(more):
+            matches, files = min(alone, rest - k * alone), 1
+            yield page + 1 + k, rel, head + k * alone, matches
+        page += more
+
+
+def assign_pages(counts: Iterable[tuple[str, int]], page: int, max_matches: int, max_files: int, max_per_file: int) -> dict[str, tuple[int, int]]:
+    """rel -> (first match, matches) on one page."""
+    out = {}
+    for at, rel, first, take in page_rows(counts, max_matches, max_files, max_per_file):
+        if at > page:
             break
+        if at == page:
+            out[rel] = (first, take)
     return out
 
 
+FARTHEST = 1_000_000  # files up to the end of a page, whose counts go through the driver
+
+
 def grep_page(files: DataFrame, ws: str, m: match.Matcher, page: int = 1, max_matches: int = 200, max_files: int = 50, max_per_file: int = 50) -> Page:
     """A page of one workspace. Totals are exact and aggregated in the cluster; the driver sees only the counts of the
-    first ``page * max_files`` matching files, which is all a page can depend on."""
-    hits = matching_lines(files.where(F.col("ws") == ws), m)
+    first ``page * max_files`` matching files, which is all a page can depend on, and refuses a page too far on."""
+    if page * max_files > FARTHEST:
+        raise ValueError(f"page {page} lies beyond {FARTHEST} files")
+    hits = materialise(matching_lines(files.where(F.col("ws") == ws), m), "hits")  # read for totals, counts and rows
     counts = hits.groupBy("rel").agg(F.count("*").alias("n"))
     t = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("f")).first()
     # a page past the per-file cap may leave files behind, so that a page never needs more files than this
@@ -110,7 +123,7 @@ def grep_page(files: DataFrame, ws: str, m: match.Matcher, page: int = 1, max_ma
     spark = files.sparkSession
     rows = spark.createDataFrame([(r, a, n) for r, (a, n) in window.items()], "rel string, first int, take int")
     n = F.row_number().over(Window.partitionBy("rel").orderBy("ln")) - 1
-    shown = hits.join(F.broadcast(rows), "rel").withColumn("n", n).where((F.col("n") >= F.col("first")) & (F.col("n") < F.col("first") + F.col("take")))
+    shown = hits.join(F.broadcast(rows), "rel").withColumn("n", n).where((F.col("n") >= F.col("first")) & (F.col("n") < F.col("first") + F.col("take")))  # at most max_files rows
     return Page(shown.select("rel", "ln", "col", text.clip_line(F.col("line"), F.col("col")).alias("text"), "n"), t["n"], t["f"], page, page + 1 if more else None)
 
 
@@ -137,7 +150,7 @@ def references(files: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
     declared = own.select("ws", F.col("file").alias("rel"), F.col("line_start").alias("ln")).distinct()
     hits = hits.join(declared, ["ws", "rel", "ln"], "left_anti")
     defines = own.select("ws", F.col("file").alias("rel")).distinct().withColumn("local", F.lit(True))
-    word = rf"(?<![\w$]){name}(?![\w$])"
+    word = rf"(?<![\w$]){re.escape(name)}(?![\w$])"
     imports = text.with_lines(candidates(files, match.compile_matcher(name, case=True))).where(F.col("line").rlike(r"^\s*(?:import|from|use)\b|^\s*export\b.*\bfrom\b") & F.col("line").rlike(word))
     imports = imports.select("ws", "rel").distinct().withColumn("imported", F.lit(True))
     o = owners(hits, symbols.select("ws", "file", "name", "path", "line_start", "line_end", "ord").distinct())
@@ -189,8 +202,7 @@ def grep_glob(spark: SparkSession, sf: str) -> DataFrame:
 def grep_stream_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Where each file's matches begin in the answer of its workspace, in path order."""
     per = matching_lines(_files(spark, sf), match.compile_matcher("late")).groupBy("ws", "rel").agg(F.count("*").alias("count"))
-    before = Window.partitionBy("ws").orderBy("rel").rowsBetween(Window.unboundedPreceding, -1)
-    return per.select("ws", "rel", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    return ordered.before(per, ["ws"], ["rel"], F.col("count"), "start")
 
 
 def mentions_first(spark: SparkSession, sf: str) -> DataFrame:

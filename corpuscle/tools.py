@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import ordered
+
 BUDGET = 12_000
 
 
-def within_budget(lines: DataFrame, order: list[str | Column], line: str = "line", budget: int = BUDGET, by: list[str] | None = None) -> DataFrame:
-    """The first lines whose lengths with their ends sum up to at most the budget, per group ``by``."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("_sum", F.sum(F.length(line) + 1).over(w)).where(F.col("_sum") <= budget).drop("_sum")
+def within_budget(lines: DataFrame, order: list[str], line: str = "line", budget: int = BUDGET, by: list[str] | None = None) -> DataFrame:
+    """The first lines whose lengths with their ends sum up to at most the budget, per group ``by``; groups of any size."""
+    n = F.length(line) + 1
+    return ordered.before(lines, by or [], order, n, "_sum").where(F.col("_sum") + n <= budget).drop("_sum")
 
 
 def render(rows: Iterable, show: Callable[[object], str], total: int, offset: int = 0, budget: int = BUDGET) -> str:

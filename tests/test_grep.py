@@ -68,3 +68,32 @@ def test_references(spark):
     s = extract.extract_files(f)
     got = {(r["rel"], r["ln"]): (r["label"], r["call"], r["owner"]) for r in grep.references(f, s, "helper").collect()}
     assert got == {("index.mjs", 1): ("imported", False, "(top level)"), ("index.mjs", 2): ("imported", True, "run"), ("notes.mjs", 1): ("textual", False, "notes")}
+
+
+def test_pages_of_a_file_that_goes_on_alone():
+    rows = list(grep.page_rows([("a", 3), ("b", 12), ("c", 1)], 5, 10, 100))
+    assert rows == [(1, "a", 0, 3), (1, "b", 0, 2), (2, "b", 2, 5), (3, "b", 7, 5), (4, "c", 0, 1)]
+    assert list(grep.page_rows([("a", 3), ("b", 12), ("c", 1)], 5, 10, 4)) == [(1, "a", 0, 3), (1, "b", 0, 2), (2, "b", 2, 4), (2, "c", 0, 1)]
+
+
+def test_columns_with_back_references_and_escaped_names(spark):
+    df = spark.createDataFrame([("foo bar",), ("😀 oo",), ("oo",)], "line string")
+    m = match.compile_matcher(r"(o)\1", regex=True)
+    assert [r[0] for r in df.select(m.column(df.line)).collect()] == [2, 3, 1]
+    from corpuscle.operators import extract
+
+    f = from_map(spark, {"a.js": "foo$bar(1)\nfoo.bar(2)\n"})
+    assert [(r["ln"], r["call"]) for r in grep.references(f, extract.extract_files(f), "foo$bar").collect()] == [(1, True)]
+
+
+def test_running_totals_over_a_group_of_any_size(spark):
+    from corpuscle import tools
+    from corpuscle.operators import ordered
+
+    rows = [("hot", f"{i:04d}", i % 3) for i in range(900)] + [(None, "a", 1), (None, "b", None), ("x", "a", 5)]
+    df = spark.createDataFrame(rows, "g string, k string, v int")
+    got = {(r["g"], r["k"]): r["before"] for r in ordered.before(df, ["g"], ["k"], df.v).collect()}
+    assert len(got) == 903 and got[(None, "b")] == 1 and got[("x", "a")] == 0
+    assert all(got[("hot", f"{i:04d}")] == sum(j % 3 for j in range(i)) for i in (0, 1, 450, 899))
+    assert ordered.before(df.limit(0), ["g"], ["k"]).count() == 0
+    assert tools.within_budget(df, ["k", "g"], "k", budget=17).count() == 3

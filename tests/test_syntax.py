@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from corpuscle.syntax import syntax_errors
+from corpuscle.syntax import script, syntax_errors
 
 VALID = [
     "function f(){ for(;;){ break; } while(1) continue; a: { break a } switch(x){case 1: break} }", "async function f(){ await x; const g = async () => await y; for await (const z of w) {} }", "await x",
@@ -37,3 +37,10 @@ def test_lines_of_many_errors():
     assert [n for n, _ in syntax_errors("javascript", text)][:3] == [1, 3, 5]
     with pytest.raises(KeyError):
         syntax_errors("cobol", "")
+
+
+@pytest.mark.parametrize("around", ["declare namespace N {\n%s\n}\n", "declare module 'm' {\n%s\n}\n", "declare global {\n%s\n}\n"])
+def test_ambient_declarations_are_not_remembered(monkeypatch, around):
+    monkeypatch.setattr(script, "SEEN", {False: set(), True: set()})
+    assert not syntax_errors("typescript", around % "const a: number;")
+    assert syntax_errors("typescript", "const limit: number;\n")

@@ -2,8 +2,6 @@
 
 import pytest
 
-from corpuscle.llm import docpairs, parses
-from corpuscle.llm.syntax import script
 from corpuscle.operators import corpus, lookup, scan, vector
 from tests.compare import same
 
@@ -68,22 +66,3 @@ def test_symbols_of_every_kind_are_read(spark, sf):
     same(lookup.symbol_offsets(spark, sf), cols("name, start_off, end_off") + """ SELECT ws, rel, name, line_start, CAST(start_off - len(replace(left(content, start_off), chr(10), '')) + 1 AS INTEGER) AS line,
      md5(substring(content, start_off + 1, end_off - start_off)) AS md5 FROM S JOIN C USING (ws, rel) WHERE start_off IS NOT NULL""", sf)
     same(corpus.symbols_table(spark, sf), "SELECT DISTINCT ws, file, name, path, parent, line_start, line_end, left(doc, 160) AS doc, coalesce(exported, false) AS exported FROM symbols", sf)
-
-
-@pytest.mark.parametrize("around", ["declare namespace N {\n%s\n}\n", "declare module 'm' {\n%s\n}\n", "declare global {\n%s\n}\n"])
-def test_ambient_declarations_are_not_remembered(monkeypatch, around):
-    monkeypatch.setattr(script, "SEEN", {False: set(), True: set()})
-    assert not parses.syntax_errors("typescript", around % "const a: number;")
-    assert parses.syntax_errors("typescript", "const limit: number;\n")
-
-
-@pytest.mark.parametrize("n", [2, 60])
-def test_comment_above_a_tall_stack_of_decorators(n):
-    table_rows = "".join(f"    ({i}, {i}),\n\n" for i in range(n))
-    python = "# Adds the two given numbers together\n@mark('a, b', [\n" + table_rows + "])\n" + "@once\n" * n + "def f(a, b):\n    return a + b\n"
-    java = "class A {\n  // Adds the two given numbers together\n  @Rows({\n" + "    @Row(1),\n" * n + "  })\n  public void f() {\n  }\n}\n"
-    rust = "/// Adds the two given numbers together\n#[rows(\n" + "  1,\n" * n + ")]\nfn f() {\n}\n"
-    for lang, text in (("python", python), ("java", java), ("rust", rust)):
-        assert [name for name, *_ in docpairs.documented(text, lang)] == ["f"], lang
-    other = "# Adds the two given numbers together\n@mark(1)\ndef g(): return 1\nx = 1\ndef f(a, b):\n    return a + b\n"
-    assert [name for name, *_ in docpairs.documented(other, "python")] == ["g"]
