@@ -7,10 +7,13 @@ number is its depth.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..functions.text import Offsets
 from ..session import ext_of, materialise, table
 from . import corpus
 
@@ -19,31 +22,120 @@ SUFFIXES = ["", ".ts", ".tsx", ".d.ts", ".mts", ".cts", ".js", ".mjs", ".cjs", "
 INDEX = ["/index" + s for s in SUFFIXES[1:]]
 SCRIPT_EXT = [".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".mts", ".cts"]
 
-STATEMENT = {  # lines that import, by family: the specifier is the first group that matched
-    "script": r"""(?:^\s*(?:import|export)\b[^'"]*?\bfrom\s*|^\s*import\s*|\brequire\s*\(\s*|\bimport\s*\(\s*)['"]([^'"]+)['"]""",
-    "python": r"^\s*(?:from\s+([.\w]+)\s+import\b|import\s+([\w.]+))",
-    "go": r"""^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"]+)"\s*$""",
-    "java": r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;",
-    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:use\s+([\w:]+)|mod\s+(\w+)\s*;)",
+FAMILY_OF = {".py": "python", ".go": "go", ".java": "java", ".rs": "rust", ".php": "php", ".phtml": "php", ".cs": "csharp"} | dict.fromkeys(SCRIPT_EXT, "script") | dict.fromkeys([".c", ".h", ".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx", ".ipp"], "include")
+
+_STR = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
+#: What is blanked before statements are looked for: comments, and literals over several lines.
+_BLANK = {
+    "python": re.compile(rf"(?P<gone>#[^\n]*|\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|\'\'\'(?:[^'\\]|\\.|'(?!\'\'))*+\'\'\')|{_STR}", re.S),
+    "script": re.compile(rf"(?P<gone>//[^\n]*|/\*.*?\*/|`(?:[^`\\]|\\.)*+`)|{_STR}", re.S),
+    "php": re.compile(rf"(?P<gone>//[^\n]*|\#(?!\[)[^\n]*|/\*.*?\*/)|{_STR}", re.S),
+    "": re.compile(r"(?P<gone>//[^\n]*|/\*.*?\*/)|\"(?:[^\"\\\n]|\\.)*+\"", re.S),
 }
+_SCRIPT = re.compile(
+    r"""^[ \t]*(?P<by>import|export)\b(?:\s*type\b(?!\s*from))?(?P<what>[^'"();=]*?)\bfrom\s*(?P<q>['"])(?P<spec>[^'"\n]+)(?P=q)|^[ \t]*import\s*(?P<q2>['"])(?P<bare>[^'"\n]+)(?P=q2)|\b(?:require|import)\s*\(\s*(?P<q3>['"])(?P<call>[^'"\n]+)(?P=q3)\s*\)""",
+    re.M,
+)
+_PY_FROM = re.compile(r"^[ \t]*from[ \t]+(?P<spec>\.*[\w.]*)[ \t]+import\b[ \t]*(?P<what>\([^)]*\)|(?:[^\n;\\]|\\\n)*)", re.M)
+_PY_IMPORT = re.compile(r"^[ \t]*import[ \t]+(?P<what>(?:[^\n;\\]|\\\n)+)", re.M)
+_GO = re.compile(r"^import\s*(?:\((?P<block>[^)]*)\)|(?:[\w.]+\s+)?(?P<one>\"[^\"\n]+\"|`[^`\n]+`))", re.M)
+_GO_SPEC = re.compile(r"\"([^\"\n]+)\"|`([^`\n]+)`")
+_JAVA = re.compile(r"^[ \t]*import\s+(?:static\s+)?(?P<spec>[\w.]+(?:\.\*)?)\s*;", re.M)
+_RUST = re.compile(r"^[ \t]*(?:pub(?:\s*\([^)]*\))?\s+)?(?:use\s+(?P<tree>[^;]+);|mod\s+(?P<mod>\w+)\s*;)", re.M)
+_PHP = re.compile(r"^[ \t]*use\s+(?:function\s+|const\s+)?(?P<tree>[\w\\][^;(]*);", re.M)
+_INCLUDE = re.compile(r"^[ \t]*#[ \t]*include[ \t]*(?:\"(?P<own>[^\"\n]+)\"|<(?P<angled>[^>\n]+)>)", re.M)
+_USING = re.compile(r"^[ \t]*(?:global\s+)?using\s+(?:static\s+)?(?:[\w]+\s*=\s*)?(?P<spec>[\w.]+)\s*;", re.M)
+_ALIAS = re.compile(r"\s+as\s+[\w$]+\s*$")
+
+
+def _listed(what: str) -> list[str]:
+    """Names of a comma-separated list, without aliases and marks."""
+    names = (_ALIAS.sub("", x.strip()).removeprefix("type ").strip() for x in what.replace("\\\n", " ").strip("() \t\n").split(","))
+    return [n for n in names if re.fullmatch(r"[\w$.]+", n)]
+
+
+def _tree(text: str, sep: str) -> list[str]:
+    """Paths of a use tree: groups in braces are multiplied out, a group's ``self`` is the path before it."""
+    text = text.strip()
+    brace = text.find("{")
+    if brace < 0:
+        path = re.sub(r"\s", "", _ALIAS.sub("", text))
+        return [path.removesuffix(sep + "self")] if path else []
+    head, parts, depth, begin = re.sub(r"\s", "", text[:brace]), [], 0, brace + 1
+    for k in range(brace, len(text)):
+        c = text[k]
+        depth += (c == "{") - (c == "}")
+        if c == "," and depth == 1 or c == "}" and not depth:
+            parts.append(text[begin:k])
+            begin = k + 1
+        if not depth:
+            break
+    out = [head + p for part in parts for p in _tree(part, sep)]
+    return [head.removesuffix(sep) if p == head + "self" else p for p in out]
+
+
+def statements_of(family: str, source: str) -> list[tuple[int, str, bool, list[str], bool, bool]]:
+    """(line, spec, re-export, names, is_mod, angled) of every import in a text; a statement may take several lines."""
+    bare = _BLANK.get(family, _BLANK[""]).sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m["gone"] else m[0], source)
+    at = Offsets(bare)
+    out = []
+
+    def add(pos: int, spec: str, reexport: bool = False, names=(), is_mod: bool = False, angled: bool = False) -> None:
+        out.append((at.line_col(pos)[0], spec, reexport, list(names), is_mod, angled))
+
+    if family == "script":
+        for m in _SCRIPT.finditer(bare):
+            what = m["what"] or ""
+            names = _listed(what[what.find("{") + 1 : what.find("}")]) if "{" in what else []
+            if m["by"] and names and re.match(r"\s*[\w$]+\s*,", what):
+                names.append("default")
+            add(m.start() + len(m[0]) - len(m[0].lstrip()), m["spec"] or m["bare"] or m["call"], m["by"] == "export", names)
+    elif family == "python":
+        for m in _PY_FROM.finditer(bare):
+            add(m.start(), m["spec"], names=_listed(m["what"]))
+        for m in _PY_IMPORT.finditer(bare):
+            for name in _listed(m["what"]):
+                add(m.start(), name)
+    elif family == "go":
+        for m in _GO.finditer(bare):
+            for x in _GO_SPEC.finditer(bare, *m.span("block" if m["block"] is not None else "one")):
+                add(x.start(), x[1] or x[2])
+    elif family == "rust":
+        for m in _RUST.finditer(bare):
+            for spec in [m["mod"]] if m["mod"] else _tree(m["tree"], "::"):
+                add(m.start(), spec, reexport=not m["mod"] and m[0].lstrip().startswith("pub"), is_mod=bool(m["mod"]))
+    elif family == "php":
+        for m in _PHP.finditer(bare):
+            for part in re.split(r",(?![^{]*\})", m["tree"]):
+                for spec in _tree(part, "\\"):
+                    add(m.start(), spec.lstrip("\\"))
+    elif family == "include":
+        for m in _INCLUDE.finditer(bare):
+            add(m.start(), m["own"] or m["angled"], angled=bool(m["angled"]))
+    else:
+        for m in {"java": _JAVA, "csharp": _USING}[family].finditer(bare):
+            add(m.start(), m["spec"])
+    return sorted(out)
+
+
+STATEMENTS = "ws string, rel string, ln int, family string, spec string, reexport boolean, names array<string>, is_mod boolean, angled boolean"
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """(ws, rel, ln, family, spec, line, reexport, names) read from content."""
-    ext = ext_of(F.col("rel"))
-    family = F.when(ext.isin(SCRIPT_EXT), "script").when(ext == ".py", "python").when(ext == ".go", "go").when(ext == ".java", "java").when(ext == ".rs", "rust")
-    c = corpus.content(files).withColumn("family", family).where("family IS NOT NULL")
-    lines = text.with_lines(c, "content", ["ws", "rel", "family"]).where(F.col("line").rlike(r"\b(?:import|from|require|use|mod|export)\b|^\s*\"[^\"]+\"\s*$")).distinct()
-    spec = F.lit(None).cast("string")
-    for fam, pattern in STATEMENT.items():
-        groups = 2 if fam in ("python", "rust") else 1
-        got = F.coalesce(*[F.nullif(F.regexp_extract("line", pattern, g), F.lit("")) for g in range(1, groups + 1)])
-        spec = F.when(F.col("family") == fam, got).otherwise(spec)
-    out = lines.withColumn("spec", spec).where("spec IS NOT NULL")
-    names = F.regexp_extract("line", r"\{([^}]*)\}", 1)
-    listed = F.when(F.col("family") == "python", F.regexp_extract("line", r"\bimport\s+\(?([\w\s,.]+)", 1)).otherwise(names)
-    parts = F.filter(F.transform(F.split(listed, ","), lambda s: F.trim(F.regexp_replace(s, r"\s+as\s+.*", ""))), lambda s: s != "")
-    return out.select("ws", "rel", "ln", "family", "spec", F.col("line").rlike(r"^\s*export\b").alias("reexport"), parts.alias("names"), F.col("line").rlike(r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\b").alias("is_mod"))
+    """(ws, rel, ln, family, spec, reexport, names, is_mod, angled) read from content. A narrow map over the files whose
+    content holds a word that imports."""
+    import pandas as pd
+
+    family = F.create_map(*[F.lit(x) for pair in FAMILY_OF.items() for x in pair])
+    c = corpus.content(files).select("ws", "rel", F.try_element_at(family, ext_of(F.col("rel"))).alias("family"), "content")
+    c = c.where(F.col("family").isNotNull() & F.col("content").rlike(r"\b(?:import|from|require|use|mod|using|include)\b"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(ws, rel, ln, fam, *rest) for ws, rel, fam, source in pdf.itertuples(index=False) for ln, *rest in statements_of(fam, source)]
+            yield pd.DataFrame(rows, columns=["ws", "rel", "ln", "family", "spec", "reexport", "names", "is_mod", "angled"])
+
+    return c.mapInPandas(run, STATEMENTS).distinct()
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -111,12 +203,17 @@ def resolve_python(st: DataFrame, files: DataFrame) -> DataFrame:
     init = files.where(F.col("rel").endswith("__init__.py")).select("ws", paths.dirname(F.col("rel")).alias("dir")).distinct()
     above = init.select("ws", F.when(F.col("dir").contains("/"), F.regexp_replace("dir", "/[^/]*$", "")).otherwise(F.lit("")).alias("root"), "dir")
     tops = above.join(init.select("ws", F.col("dir").alias("root")), ["ws", "root"], "left_anti").select("ws", "root").distinct()
+    # each file under the roots above it, by the module it is there: joined on the module, not on all roots of a workspace
+    py = files.where(F.col("rel").endswith(".py")).select("ws", F.col("rel").alias("to_rel"), F.explode(ancestors(F.col("rel"))).alias("root")).distinct()
+    known = py.join(tops.withColumn("top", F.lit(True)), ["ws", "root"], "left").where(F.col("top") | F.col("root").isin("", "src"))
+    inner = F.when(F.col("root") == "", F.col("to_rel")).otherwise(F.expr("substring(to_rel, length(root) + 2)"))
+    known = known.select("ws", "root", "to_rel", F.regexp_replace(inner, r"(?:/__init__)?\.py$", "").alias("module"), F.col("to_rel").endswith("__init__.py").alias("package"))
     own = s.where(dots == 0)
-    fixed = own.select("ws").distinct().select("ws", F.explode(F.array(F.lit(""), F.lit("src"))).alias("root"))
-    roots = tops.unionByName(fixed).distinct().groupBy("ws").agg(F.sort_array(F.collect_set("root")).alias("roots"))  # few per workspace
     path = F.replace(F.col("spec"), F.lit("."), F.lit("/"))
-    c = own.join(roots, "ws").select(*KEYS, F.flatten(F.transform("roots", lambda r: tries(F.when(r == "", path).otherwise(F.concat(r, F.lit("/"), path))))).alias("c"))
-    return out.unionByName(_first(c, files, KEYS))
+    asked = own.select(*KEYS, F.explode(F.concat(F.array(F.struct(F.lit(0).alias("pos"), path.alias("module"))), F.transform("names", lambda n: F.struct(F.lit(1).alias("pos"), F.concat(path, F.lit("/"), n).alias("module"))))).alias("a")).select(*KEYS, "a.pos", "a.module")
+    rank = F.struct(F.when((F.col("pos") == 0) & F.col("package"), 2).otherwise(F.col("pos")).alias("pos"), "root", "package", "to_rel")
+    got = asked.join(known, ["ws", "module"]).groupBy(*KEYS).agg(F.min(rank).alias("b"))
+    return out.unionByName(got.select(*KEYS, "b.to_rel"))
 
 
 def resolve_go(st: DataFrame, files: DataFrame, modules: DataFrame) -> DataFrame:
@@ -186,6 +283,29 @@ def resolve_rust(st: DataFrame, files: DataFrame) -> DataFrame:
     return got.groupBy(*KEYS).agg(F.min_by("to_rel", "pos").alias("to_rel"))
 
 
+def psr4_of(files: DataFrame) -> DataFrame:
+    """(ws, prefix, dir) of the autoload rules of every composer.json, directories from the root of the workspace."""
+    c = corpus.searchable_or_plain(files).where(paths.basename(F.col("rel")) == "composer.json")
+    rules = lambda key: F.map_entries(F.coalesce(F.from_json(F.get_json_object("content", f"$.{key}"), "map<string,string>"), F.create_map().cast("map<string,string>")))
+    each = c.select("ws", "rel", F.explode(F.concat(rules("autoload.psr-4"), rules("autoload-dev.psr-4"))).alias("e"))
+    return each.select("ws", F.col("e.key").alias("prefix"), F.coalesce(_beside(F.col("rel"), F.concat(F.regexp_replace("e.value", "/+$", ""), F.lit("/"))), F.lit("")).alias("dir")).distinct()
+
+
+def resolve_csharp(st: DataFrame, files: DataFrame) -> DataFrame:
+    """A namespace stands for every file that declares it; a static or aliased name for the file of the type, else of its
+    longest prefix that is a type."""
+    s = st.where("family = 'csharp'").select(*KEYS).distinct()
+    c = corpus.content(files).where(F.col("rel").endswith(".cs")).select("ws", F.col("rel").alias("to_rel"), "content")
+    spaces = c.select("ws", "to_rel", "content", F.regexp_extract_all("content", F.lit(r"(?m)^\s*namespace\s+([\w.]+)"), F.lit(1)).alias("ns"))
+    named = spaces.select("ws", "to_rel", F.explode("ns").alias("spec")).distinct()
+    types = spaces.select("ws", "to_rel", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^[^/\n\"]*\b(?:class|struct|interface|record|enum)\s+(\w+)"), F.lit(1))).alias("t"), F.coalesce(F.try_element_at("ns", F.lit(1)), F.lit("")).alias("n"))
+    types = types.select("ws", "to_rel", F.when(F.col("n") == "", F.col("t")).otherwise(F.concat("n", F.lit("."), "t")).alias("type")).distinct()
+    parts = F.split("spec", r"\.")
+    pre = s.select(*KEYS, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))).alias("type"))
+    typed = pre.join(types, ["ws", "type"]).groupBy(*KEYS).agg(F.max_by("to_rel", F.struct(F.length("type"), "to_rel")).alias("to_rel"))
+    return s.join(named, ["ws", "spec"]).select(*KEYS, "to_rel").unionByName(typed).distinct()
+
+
 def resolve_php(st_php: DataFrame, files: DataFrame, psr4: DataFrame) -> DataFrame:
     """``psr4`` (ws, prefix, dir): the longest namespace prefix gives the directory of the class file."""
     parts = F.split("spec", r"\\")
@@ -198,11 +318,14 @@ def resolve_php(st_php: DataFrame, files: DataFrame, psr4: DataFrame) -> DataFra
 def resolve_include(st_c: DataFrame, files: DataFrame) -> DataFrame:
     """C and C++: beside the file, then from the root, then under directories named include; ``<x>`` only the last."""
     s = st_c.select(*KEYS, "angled").distinct()
-    inc = files.select("ws", F.regexp_extract("rel", r"^((?:.*/)?include)/", 1).alias("root")).where("root <> ''").distinct().groupBy("ws").agg(F.sort_array(F.collect_set("root")).alias("roots"))
-    j = s.join(inc, "ws", "left").withColumn("roots", F.coalesce("roots", F.array().cast("array<string>")))
-    under = F.transform("roots", lambda r: F.concat(r, F.lit("/"), F.col("spec")))
-    c = F.when(F.col("angled"), under).otherwise(F.concat(F.array(_beside(F.col("rel"), F.col("spec")), paths.norm(F.col("spec"))), under))
-    return _first(j.select(*KEYS, c.alias("c")), files, KEYS)
+    near = s.where(~F.col("angled")).select(*KEYS, F.array(_beside(F.col("rel"), F.col("spec")), paths.norm(F.col("spec"))).alias("c"))
+    direct = _first(near, files, KEYS)
+    # what stands below a directory named include, by its path from there; a path may lie below several
+    parts = F.split("rel", "/")
+    under = files.select("ws", F.col("rel").alias("to_rel"), parts.alias("p")).distinct().select("ws", "to_rel", "p", F.posexplode("p").alias("k", "d")).where((F.col("d") == "include") & (F.col("k") < F.size("p") - 1))
+    under = under.select("ws", "to_rel", F.array_join(F.slice("p", F.lit(1), F.col("k") + 1), "/").alias("root"), F.expr("array_join(slice(p, k + 2, size(p)), '/')").alias("spec"))
+    rest = s.join(direct, KEYS, "left_anti").join(under, ["ws", "spec"]).groupBy(*KEYS).agg(F.min(F.struct("root", "to_rel")).alias("b"))
+    return direct.unionByName(rest.select(*KEYS, "b.to_rel"))
 
 
 def configs_of(files: DataFrame) -> DataFrame:
@@ -264,22 +387,28 @@ def module_kind(files: DataFrame) -> DataFrame:
     return scripts.join(near, ["ws", "rel"], "left").select("ws", "rel", kind.alias("kind"))
 
 
-FAMILIES = ("script", "python", "java", "rust", "go")
+FAMILIES = ("script", "python", "java", "rust", "go", "php", "include", "csharp")
 
 
-def edges(files: DataFrame, configs: DataFrame | None = None, modules: DataFrame | None = None, families: tuple[str, ...] = FAMILIES) -> DataFrame:
-    """(ws, rel, ln, spec, to_rel, reexport, names) of every import that resolves. Go needs ``modules``."""
+def edges(files: DataFrame, configs: DataFrame | None = None, modules: DataFrame | None = None, families: tuple[str, ...] = FAMILIES, psr4: DataFrame | None = None) -> DataFrame:
+    """(ws, rel, ln, spec, to_rel, reexport, names) of every import that resolves. Settings that are not given are read from the
+    tsconfig.json, go.mod and composer.json of the corpus."""
     # the resolvers all read the statements, so these are read from content once
     st = materialise(statements(files), "imports")
     names = files.select("ws", "rel")
+    configs = configs_of(files) if configs is None else configs
+    modules = go_modules_of(files) if modules is None else modules
+    psr4 = psr4_of(files) if psr4 is None else psr4
     make = {
-        "script": lambda: resolve_script(st, names, configs), "python": lambda: resolve_python(st, names), "java": lambda: resolve_java(st, files),
-        "rust": lambda: resolve_rust(st, names), "go": lambda: resolve_go(st, names, modules),
+        "script": lambda: resolve_script(st, names, configs), "python": lambda: resolve_python(st, names), "java": lambda: resolve_java(st, files), "rust": lambda: resolve_rust(st, names),
+        "go": lambda: resolve_go(st, names, modules), "php": lambda: resolve_php(st.where("family = 'php'"), names, psr4), "include": lambda: resolve_include(st.where("family = 'include'"), names),
+        "csharp": lambda: resolve_csharp(st, files),
     }
-    parts = [make[f]() for f in families if f != "go" or modules is not None]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    there = {r["family"] for r in st.select("family").distinct().collect()}  # one row a family
+    out = spark_empty = files.sparkSession.createDataFrame([], "ws string, rel string, ln int, spec string, to_rel string")
+    for f in families:
+        if f in there:
+            out = make[f]() if out is spark_empty else out.unionByName(make[f]())
     return out.distinct().join(st.select(*KEYS, "reexport", "names").dropDuplicates(KEYS), KEYS)
 
 
@@ -314,6 +443,39 @@ def edges_resolved(spark: SparkSession, sf: str) -> DataFrame:
     return edges(table(spark, sf, "files")).select("ws", "rel", "ln", "spec", "to_rel")
 
 
+def generated_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """A corpus in which every customer is a file of one of nine languages that imports the one 45 keys on."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer").select(F.concat(F.lit("w"), F.floor((k % 45) / 9)).alias("ws"), (k % 9).alias("f"), k.cast("string").alias("k"), (k + 45).cast("string").alias("t"))
+    say = lambda template: F.replace(F.replace(F.lit(template), F.lit("@K"), F.col("k")), F.lit("@T"), F.col("t"))
+    kinds = [
+        ("src/c@K.js", "import {\n  a@T,\n  b as c,\n} from './c@T';\n"), ("src/c@K.ts", "// import x from './c1'\nexport * from './c@T';\n"), ("pkg/c@K.py", "\'\'\'\nimport pkg.c0\n\'\'\'\nimport os, pkg.c@T as d\n"),
+        ("c@K/x.go", 'package a\n\nimport (\n\t"fmt"\n\tq "ex.org/m/c@T"\n)\n\nvar s = `\n"ex.org/m/c@K"\n`\n'), ("p/C@K.java", "package p;\nimport p.C@T;\nclass C@K {}\n"), ("rs/src/c@K.rs", "use crate::{c@T::{f, g}};\n"),
+        ("lib/C@K.php", "<?php\nuse App\\{C@T, Other as O};\n"), ("inc/c@K.h", '#include <stdio.h>\n#include "c@T.h"\n'), ("cs/C@K.cs", "using N@T;\nnamespace N@K;\nclass X@K { }\n"),
+    ]
+    rel = content = F.lit(None).cast("string")
+    for n, (r, t) in enumerate(kinds):
+        rel, content = F.when(F.col("f") == n, say(r)).otherwise(rel), F.when(F.col("f") == n, say(t)).otherwise(content)
+    own = c.select("ws", rel.alias("rel"), content.alias("content"))
+    mods = c.where("f = 5").groupBy("ws").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("mod c"), "k", F.lit(";")))), "\n").alias("content")).select("ws", F.lit("rs/src/main.rs").alias("rel"), "content")
+    each = c.select("ws").distinct()
+    fixed = [each.select("ws", F.lit(r).alias("rel"), F.lit(t).alias("content")) for r, t in (("go.mod", "module ex.org/m\n"), ("composer.json", '{"autoload": {"psr-4": {"App\\\\": "lib/"}}}'))]
+    out = own.unionByName(mods)
+    for x in fixed:
+        out = out.unionByName(x)
+    return out.withColumn("indexed", F.lit(True))
+
+
+def edges_generated(spark: SparkSession, sf: str) -> DataFrame:
+    e = edges(materialise(generated_corpus(spark, sf), "corpus"))
+    return e.where("rel <> 'rs/src/main.rs'").select("ws", "rel", "ln", "spec", "to_rel", "reexport")
+
+
+def importers_generated(spark: SparkSession, sf: str) -> DataFrame:
+    """Who imports each script of the generated corpus, directly or through one re-export."""
+    return importers(edges(materialise(generated_corpus(spark, sf), "corpus"), families=("script",)))
+
+
 def java_class_map(spark: SparkSession, sf: str) -> DataFrame:
     return java_classes(table(spark, sf, "files"))
 
@@ -330,8 +492,10 @@ def module_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return module_kind(table(spark, sf, "files")).groupBy("ws", "kind").agg(F.count("*").alias("files"))
 
 
-QUERIES = {f.__name__: f for f in (module_kinds, imports_table, imports_by_spec, import_statements, edges_resolved, java_class_map, import_candidates)}
+QUERIES = {f.__name__: f for f in (module_kinds, imports_table, imports_by_spec, import_statements, edges_resolved, edges_generated, importers_generated, java_class_map, import_candidates)}
 _I = "I AS (SELECT DISTINCT ws, rel, i.spec AS spec, i.line AS line, i.kind AS kind FROM (SELECT ws, rel, unnest(imports) AS i FROM files))"
+_REL = "CASE f WHEN 0 THEN 'src/c' || {k} || '.js' WHEN 1 THEN 'src/c' || {k} || '.ts' WHEN 2 THEN 'pkg/c' || {k} || '.py' WHEN 3 THEN 'c' || {k} || '/x.go' WHEN 4 THEN 'p/C' || {k} || '.java' WHEN 5 THEN 'rs/src/c' || {k} || '.rs' WHEN 6 THEN 'lib/C' || {k} || '.php' WHEN 7 THEN 'inc/c' || {k} || '.h' ELSE 'cs/C' || {k} || '.cs' END"
+_G = f"WITH c AS (SELECT 'w' || ((c_custkey % 45) // 9) AS ws, c_custkey % 9 AS f, c_custkey AS k, c_custkey + 45 AS t FROM customer), G AS (SELECT a.ws, a.f, a.t, {_REL.format(k='a.k').replace('CASE f', 'CASE a.f')} AS rel, {_REL.format(k='a.t').replace('CASE f', 'CASE a.f')} AS to_rel FROM c a JOIN c b ON a.t = b.k)"
 ORACLE = {
     "module_kinds": "SELECT ws, CASE WHEN rel LIKE '%.mjs' THEN 'module' ELSE 'ambiguous' END AS kind, count(DISTINCT rel) AS files FROM files WHERE regexp_matches(rel, '\\.(m?js|ts)$') GROUP BY 1, 2",
     "imports_table": f"WITH {_I} SELECT * FROM I",
@@ -342,4 +506,16 @@ ORACLE = {
     "import_candidates": f"""WITH {_I}, {corpus.FILES_SQL}, D AS (SELECT ws, dir, count(*) AS files FROM F GROUP BY ws, dir),
  X AS (SELECT ws, rel, spec, line, CASE WHEN rel LIKE '%/%' THEN regexp_extract(rel, '^(.*)/[^/]*$', 1) ELSE '.' END AS dir FROM I WHERE spec LIKE './%')
  SELECT X.ws, X.rel, X.spec, X.line, X.dir, coalesce(D.files, 0) AS files FROM X LEFT JOIN D ON X.ws = D.ws AND X.dir = D.dir""",
+    "import_statements": f"""WITH {corpus.SEARCHABLE_SQL}, L AS (SELECT ws, rel, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS ln FROM C WHERE regexp_matches(rel, '\\.(m?js|ts|py|go|java|rs)$')),
+ S AS (SELECT ws, rel, ln, CASE WHEN rel LIKE '%.py' THEN 'python' WHEN rel LIKE '%.go' THEN 'go' WHEN rel LIKE '%.java' THEN 'java' WHEN rel LIKE '%.rs' THEN 'rust' ELSE 'script' END AS family, line FROM L),
+ M AS (SELECT ws, rel, ln, family, CASE family WHEN 'python' THEN nullif(concat(regexp_extract(line, '^[ \\t]*from[ \\t]+(\\.*[\\w.]*)[ \\t]+import\\b', 1), regexp_extract(line, '^[ \\t]*import[ \\t]+([\\w.]+)', 1)), '')
+  WHEN 'go' THEN nullif(regexp_extract(line, '^(?:import[ \\t]+|\\t)"([^"]+)"\\r?$', 1), '') WHEN 'java' THEN nullif(regexp_extract(line, '^[ \\t]*import\\s+(?:static\\s+)?([\\w.]+(?:\\.\\*)?)\\s*;', 1), '')
+  WHEN 'rust' THEN nullif(regexp_extract(line, '^[ \\t]*(?:pub\\s+)?(?:use|mod)\\s+([\\w:]+)', 1), '') ELSE nullif(regexp_extract(line, '^[ \\t]*(?:import|export)\\b[^''"]*\\bfrom\\s*[''"]([^''"]+)[''"]|\\brequire\\([''"]([^''"]+)[''"]\\)', 1)
+  || regexp_extract(line, '\\brequire\\([''"]([^''"]+)[''"]\\)', 1) || regexp_extract(line, '^[ \\t]*import\\s*[''"]([^''"]+)[''"]', 1), '') END AS spec FROM S)
+ SELECT ws, family, count(*) AS statements, count(DISTINCT rel) AS files FROM (SELECT DISTINCT * FROM M WHERE spec IS NOT NULL) GROUP BY ws, family""".replace("\\\\", "\\"),
+    "edges_generated": f"""{_G} SELECT ws, rel, CAST(CASE f WHEN 2 THEN 4 WHEN 3 THEN 5 WHEN 0 THEN 1 WHEN 5 THEN 1 WHEN 8 THEN 1 ELSE 2 END AS INTEGER) AS ln,
+ CASE f WHEN 0 THEN './c' || t WHEN 1 THEN './c' || t WHEN 2 THEN 'pkg.c' || t WHEN 3 THEN 'ex.org/m/c' || t WHEN 4 THEN 'p.C' || t WHEN 5 THEN 'crate::c' || t || '::' || x WHEN 6 THEN 'App\\C' || t WHEN 7 THEN 'c' || t || '.h' ELSE 'N' || t END AS spec,
+ to_rel, f = 1 AS reexport FROM G, (VALUES ('f'), ('g')) v(x) WHERE f = 5 OR x = 'f'""",
+    "importers_generated": f"""{_G} SELECT ws, to_rel AS target, rel AS file, CAST(f + 1 AS INTEGER) AS line, CAST(NULL AS VARCHAR) AS via FROM G WHERE f < 2
+ UNION ALL SELECT a.ws, b.to_rel, a.rel, CAST(2 AS INTEGER), b.rel FROM G a JOIN G b ON a.ws = b.ws AND a.to_rel = b.rel WHERE a.f = 1""",
 }

@@ -74,3 +74,29 @@ def test_configs_modules_and_kinds_from_files(spark):
     assert (k["x/y/m.js"], k["z.js"], k["w.cjs"]) == ("module", "ambiguous", "commonjs")
     m = spark.createDataFrame([("w", "svc/go.mod", "module ex.org/m\n\ngo 1.22\n", True)], "ws string, rel string, content string, indexed boolean")
     assert [tuple(r) for r in E.go_modules_of(m).collect()] == [("w", "svc", "ex.org/m")]
+
+
+def test_statements_over_several_lines():
+    st = lambda fam, source: [(ln, spec, names) for ln, spec, _, names, *_ in E.statements_of(fam, source)]
+    assert st("script", "import d, {\n a,\n b as c,\n} from './b'\n// import x from './no'\nconst s = `\nimport y from './no'\n`;\nexport { e } from './f';\nimport './g';\nconst h = require('./i');\nimport type { T } from \"./t\";\n") == [
+        (1, "./b", ["a", "b", "default"]), (9, "./f", ["e"]), (10, "./g", []), (11, "./i", []), (12, "./t", ["T"]),
+    ]
+    assert st("python", '"""\nimport no\n"""\nimport a, b.c as d\nfrom .x import (\n    e,\n    f as g,  # why\n)\nfrom y import h, \\\n    i\nfrom z import *\n') == [(4, "a", []), (4, "b.c", []), (5, ".x", ["e", "f"]), (9, "y", ["h", "i"]), (11, "z", [])]
+    assert st("go", 'package a\nimport q "one"\nimport (\n\t"two"\n\t_ `three`\n)\nvar x = []string{\n\t"four",\n}\nconst y = "five"\n') == [(2, "one", []), (4, "two", []), (5, "three", [])]
+    assert st("rust", "use crate::a::{b, c::{d as e, self}, f::*};\npub use self::g;\nmod h;\n// use no::x;\n") == [(1, "crate::a::b", []), (1, "crate::a::c", []), (1, "crate::a::c::d", []), (1, "crate::a::f::*", []), (2, "self::g", []), (3, "h", [])]
+    assert st("php", "<?php\nuse A\\B, C\\D as E;\nuse F\\{G, H\\I};\nuse function J\\k;\n") == [(2, "A\\B", []), (2, "C\\D", []), (3, "F\\G", []), (3, "F\\H\\I", []), (4, "J\\k", [])]
+    assert st("csharp", "using A.B;\nusing static C.D;\nusing E = F.G;\nusing (var x = y) {}\n") == [(1, "A.B", []), (2, "C.D", []), (3, "F.G", [])]
+    assert st("include", '#include <a/b.h>\n# include "c.h"\n/* #include "no.h" */\n') == [(1, "a/b.h", []), (2, "c.h", [])]
+
+
+def test_all_families_from_their_settings(spark):
+    files = {
+        "composer.json": '{"autoload": {"psr-4": {"App\\\\": "src/App/"}}}', "src/App/Model/User.php": "<?php\n", "web/index.php": "<?php\nuse App\\Model\\User;\n",
+        "a/One.cs": "namespace N.M;\npublic class One { }\n", "a/Two.cs": "namespace N.M {\n class Two { }\n}\n", "b/Use.cs": "using N.M;\nusing T = N.M.Two;\nusing System;\n", "include/x/y.h": "\n", "c/z.c": "#include <x/y.h>\n#include <stdio.h>\n",
+        "lib/deep/pkg/__init__.py": "\n", "lib/deep/pkg/mod.py": "\n", "main.py": "import pkg.mod\nfrom pkg import mod, other\n",
+    }
+    e = E.edges(from_map(spark, files).cache())
+    assert sorted((r["rel"], r["ln"], r["to_rel"]) for r in e.collect()) == [
+        ("b/Use.cs", 1, "a/One.cs"), ("b/Use.cs", 1, "a/Two.cs"), ("b/Use.cs", 2, "a/Two.cs"), ("c/z.c", 1, "include/x/y.h"), ("main.py", 1, "lib/deep/pkg/mod.py"), ("main.py", 2, "lib/deep/pkg/mod.py"), ("web/index.php", 2, "src/App/Model/User.php"),
+    ]
+    assert E.edges(from_map(spark, {"a.txt": "x"})).count() == 0
