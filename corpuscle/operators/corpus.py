@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import match, paths, text
 from ..session import table
-from . import ordered
+from . import fulltext, ordered
 
 
 def searchable(files: DataFrame) -> DataFrame:
@@ -132,9 +132,9 @@ def duplicate_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def tokens_df(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences and documents of every index term of all documents."""
-    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.explode(match.term_array(F.col("text"))).alias("term"))
-    # partial counts by document first, so that a frequent term reaches its task as few rows
-    return d.groupBy("term", "doc_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("documents"))
+    # counted in each row first, so that a frequent term reaches its task as few rows
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select(F.inline(fulltext.counted_terms(F.col("text"))))
+    return d.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("documents"))
 
 
 QUERIES = {

@@ -339,4 +339,8 @@ def call_sites(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (extracted_symbols, extraction_check, call_sites)}
-ORACLE = {}
+ORACLE = {
+    "call_sites": f"""WITH {corpus.LINES_SQL}, D AS (SELECT DISTINCT ws, rel, ln, unnest(list_distinct(regexp_extract_all(replace(line, '(', '(('), '(?:^|[^\\w$.])([A-Za-z_$][\\w$]*)\\s*\\(', 1))) AS name FROM L
+ WHERE regexp_matches(lower(rel), '\\.(py|m?js|ts|go|java|rs)$') AND contains(line, '(') AND NOT regexp_matches(line, '^\\s*(?://|#|\\*|/\\*)') AND NOT regexp_matches(line, '^\\s*(?:async\\s+)?(?:def|func|function|fn|class)\\b'))
+ SELECT name, count(*) AS calls, count(DISTINCT ws || chr(1) || rel) AS files FROM D WHERE name NOT IN ('if', 'for', 'while', 'switch', 'catch', 'return', 'function', 'and', 'or', 'not', 'in', 'elif') GROUP BY name""",
+}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, table
+from ..session import observed, shared_dir, table
 from .ledger import Ledger, Runs, run_ledger, with_slot
 
 
@@ -87,8 +87,11 @@ def plan_run(spark: SparkSession, listings: DataFrame, files: DataFrame, folder:
     state, watch = f"{folder}/state", Observation()
     rows = rows.observe(watch, F.count_if("changed").alias("n"))
     with_slot(rows, KEY).write.partitionBy("changed").parquet(state)
+    n = observed(watch, "n")
+    if n is None:
+        n = spark.read.schema(state_schema(listings)).parquet(state).where("changed").count()
     last = fresh.agg(F.max("arrived_at").cast("string")).first()[0]
-    return {"state": state, "mark": last or (left or {}).get("mark"), "changed": int(watch.get["n"])}
+    return {"state": state, "mark": last or (left or {}).get("mark"), "changed": n}
 
 
 def process_changes(spark: SparkSession, listings: DataFrame, files: DataFrame, root: str, process=None, **options) -> DataFrame:

@@ -249,8 +249,8 @@ def symbol_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (read_symbols, symbol_offsets)}
 ORACLE = {
-    "read_symbols": f"""WITH {corpus.SEARCHABLE_SQL}, S AS (SELECT DISTINCT ws, file AS rel, path, line_start, line_end FROM symbols WHERE kind = 'method')
+    "read_symbols": f"""WITH {corpus.SEARCHABLE_SQL}, S AS (SELECT DISTINCT ws, file AS rel, path, line_start, line_end FROM symbols)
  SELECT ws, rel, path, line_start, md5(array_to_string((string_split(content, chr(10)))[line_start:line_end], chr(10))) AS md5 FROM S JOIN C USING (ws, rel)""",
-    "symbol_offsets": f"""WITH {corpus.SEARCHABLE_SQL}, S AS (SELECT DISTINCT ws, file AS rel, name, start_off, end_off, line_start FROM symbols WHERE kind = 'class' AND start_off IS NOT NULL)
+    "symbol_offsets": f"""WITH {corpus.SEARCHABLE_SQL}, S AS (SELECT DISTINCT ws, file AS rel, name, start_off, end_off, line_start FROM symbols WHERE start_off IS NOT NULL)
  SELECT ws, rel, name, line_start, CAST(start_off - len(replace(left(content, start_off), chr(10), '')) + 1 AS INTEGER) AS line, md5(substring(content, start_off + 1, end_off - start_off)) AS md5 FROM S JOIN C USING (ws, rel)""",
 }

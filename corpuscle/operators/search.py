@@ -1,7 +1,8 @@
 """Full-text search and ranking: BM25 over documents and symbols, AND / OR / prefix, the score ladder, fused answers.
 
-Queries have few terms, so a text is reduced to its length and its frequency of each term by higher-order functions; no
-inverted list is exploded or shuffled, and both passes (statistics, scores) are narrow scans. Statistics are one row.
+``fulltext`` answers from a stored index. ``bm25`` here is the same without one, for small or fleeting tables: a text is
+reduced to its length and its frequency of each term by higher-order functions, and both passes (statistics, scores) are
+narrow scans. Statistics are one row.
 
 BM25: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), k1 = 1.2, b = 0.75, ``relevance`` is the sum over the terms.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import match, text
 from ..session import table
-from . import corpus, grep
+from . import corpus, fulltext, grep
 
 K1, B = 1.2, 0.75
 
@@ -76,43 +77,73 @@ def symbol_body() -> Column:
 HIT = ["ws", "file", "path", "name", "kind", "line_start", "line_end"]
 
 
-def find_symbols(symbols: DataFrame, q: str, loose: bool = False) -> DataFrame:
+def symbol_rows(symbols: DataFrame) -> DataFrame:
+    return symbols.select(*HIT, "doc", "signature").distinct()
+
+
+def symbol_index(symbols: DataFrame) -> fulltext.Index:
+    """The stored index of name, path, doc and signature."""
+    return fulltext.stored(symbols, symbol_rows(symbols).withColumn("_b", symbol_body()), HIT, "_b", "symbols")
+
+
+def content_index(files: DataFrame) -> fulltext.Index:
+    """The stored index of path and content of the searchable files, one text a file."""
+    rows = corpus.content(files).dropDuplicates(["ws", "rel"])
+    return fulltext.stored(files, rows.withColumn("_b", F.concat_ws(" ", "rel", "content")), ["ws", "rel"], "_b", "content")
+
+
+def find_symbols(symbols: DataFrame, q: str, loose: bool = False, index: fulltext.Index | None = None) -> DataFrame:
     """Symbols by the ladder: name 100 / 70 / 50, all terms in name, path, doc or signature 40 (any term 18), doc 25."""
     terms = match.query_terms(q)
-    s = symbols.select(*HIT, "doc", "signature").distinct()
+    s = symbol_rows(symbols)
     ladder = name_score(F.col("name"), F.col("path"), q)
-    prose = bm25(s.withColumn("_b", symbol_body()), "_b", terms, "or" if loose else "and")
+    how = "or" if loose else "and"
+    prose = fulltext.search(index, terms, how) if index else bm25(s.withColumn("_b", symbol_body()), "_b", terms, how)
     fts = prose.select(*HIT, F.lit(18 if loose else 40).alias("score"), "relevance", F.lit("fts~" if loose else "fts").alias("via"))
     by_name = s.withColumn("score", F.when(ladder > 0, ladder).when(F.lower("doc").contains(q.lower()), 25).otherwise(0)).where("score > 0")
     by_name = by_name.select(*HIT, "score", F.lit(0.0).alias("relevance"), F.lit(None).cast("string").alias("via"))
     return fts.unionByName(by_name)
 
 
-def find_content(files: DataFrame, symbols: DataFrame, q: str, loose: bool = False) -> DataFrame:
-    """The content eye: files that hold all terms, their best lines by owner symbol, else a hit on the file."""
+def find_content(files: DataFrame, symbols: DataFrame, q: str, loose: bool = False, index: fulltext.Index | None = None) -> DataFrame:
+    """The content eye: files that hold all terms, their best lines by owner symbol. A file that no line of its own speaks
+    for, as its path does, is a hit without a line."""
     terms = match.query_terms(q)
-    docs = corpus.content(files).withColumn("_b", F.concat_ws(" ", "rel", "content")).select("ws", "rel", "_b")
-    hits = bm25(docs, "_b", terms, "or" if loose else "and").groupBy("ws", "rel").agg(F.max("relevance").alias("relevance"))
-    quotes = quote_lines(corpus.content(files), ["ws", "rel"], "content", terms)
+    if not terms:
+        return _no_content(files)
+    how = "or" if loose else "and"
+    if index:
+        hits = fulltext.search(index, terms, how)
+    else:
+        docs = corpus.content(files).withColumn("_b", F.concat_ws(" ", "rel", "content")).select("ws", "rel", "_b")
+        hits = bm25(docs, "_b", terms, how).groupBy("ws", "rel").agg(F.max("relevance").alias("relevance"))
+    quotes = quote_lines(corpus.content(files).join(hits.select("ws", "rel"), ["ws", "rel"], "left_semi"), ["ws", "rel"], "content", terms)
     sy = symbols.select("ws", "file", "name", "path", "line_start", "line_end", "ord").distinct()
     owned = grep.owners(quotes.drop("n"), sy).join(hits, ["ws", "rel"])
     best = owned.groupBy("ws", "rel", "owner").agg(F.max_by(F.struct("ln", "line", "relevance", "owner_name"), F.struct("terms", (-F.col("ln")).alias("l"))).alias("b"))
+    silent = hits.join(best.select("ws", "rel").distinct(), ["ws", "rel"], "left_anti")
+    best = best.unionByName(silent.select("ws", "rel", F.lit(None).cast("string").alias("owner"), F.struct(F.lit(None).cast("int").alias("ln"), F.lit(None).cast("string").alias("line"), "relevance", F.lit(None).cast("string").alias("owner_name")).alias("b")))
     return best.select(
         "ws", F.col("rel").alias("file"), F.col("owner").alias("path"), F.col("b.owner_name").alias("name"), F.lit(16 if loose else 35).alias("score"),
         F.col("b.relevance").alias("relevance"), F.lit("content~" if loose else "content").alias("via"), F.col("b.ln").alias("line"), F.substring(F.trim("b.line"), 1, 200).alias("quote"),
     )
 
 
-def find(files: DataFrame, symbols: DataFrame, q: str, kind: str | None = None, where=None) -> DataFrame:
+def _no_content(files: DataFrame) -> DataFrame:
+    return files.sparkSession.createDataFrame([], "ws string, file string, path string, name string, score int, relevance double, via string, line int, quote string")
+
+
+def find(files: DataFrame, symbols: DataFrame, q: str, kind: str | None = None, where=None, indexes: tuple[fulltext.Index, fulltext.Index] | None = None) -> DataFrame:
     """Ranked hits of both eyes merged by file and path: the best score, the union of ``via``, a quote if any has one.
 
     AND first; only if neither eye finds anything and the query has several words, OR. The order is total:
     score, relevance, span, file, path.
     """
-    sy = symbols if kind is None else symbols.where(F.col("kind") == kind)
-    both = _eyes(files, sy, q, False)
+    both = _eyes(files, symbols, q, False, indexes)
     if len(q.split()) > 1 and both.where("via IS NOT NULL").isEmpty():
-        both = _eyes(files, sy, q, True)
+        both = _eyes(files, symbols, q, True, indexes)
+    if kind is not None:
+        both = both.where((F.col("kind") == kind) | F.col("via").startswith("content"))
     if where is not None:
         both = both.where(where.column(F.col("file")))
     best = F.struct("score", "relevance")
@@ -124,9 +155,10 @@ def find(files: DataFrame, symbols: DataFrame, q: str, kind: str | None = None,
     return merged.select("ws", "file", "path", "name", "kind", "line_start", "line_end", "b.score", "b.relevance", "via", "q.line", "q.quote").orderBy(F.desc("score"), F.desc("relevance"), span, "ws", "file", "path")
 
 
-def _eyes(files: DataFrame, symbols: DataFrame, q: str, loose: bool) -> DataFrame:
-    a = find_symbols(symbols, q, loose).withColumns({"line": F.lit(None).cast("int"), "quote": F.lit(None).cast("string")})
-    b = find_content(files, symbols, q, loose)
+def _eyes(files: DataFrame, symbols: DataFrame, q: str, loose: bool, indexes) -> DataFrame:
+    of_symbols, of_content = indexes or (None, None)
+    a = find_symbols(symbols, q, loose, of_symbols).withColumns({"line": F.lit(None).cast("int"), "quote": F.lit(None).cast("string")})
+    b = find_content(files, symbols, q, loose, of_content)
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -137,22 +169,30 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")
 
 
-def fts_and(spark: SparkSession, sf: str) -> DataFrame:
+def document_index(spark: SparkSession, sf: str) -> fulltext.Index:
+    return fulltext.stored(table(spark, sf, "documents"), _docs(spark, sf), ["doc_id"], "text", "documents")
+
+
+def fts_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """``fts_and`` without an index."""
     return bm25(_docs(spark, sf), "text", match.query_terms("the missing manifest on disk"), "and").select("doc_id", F.round("relevance", 6).alias("relevance"))
 
 
+def fts_and(spark: SparkSession, sf: str) -> DataFrame:
+    return fulltext.search(document_index(spark, sf), match.query_terms("the missing manifest on disk")).select("doc_id", F.round("relevance", 6).alias("relevance"))
+
+
 def fts_or_loose(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25(_docs(spark, sf), "text", match.query_terms("Fassade scanner caché"), "or").select("doc_id", F.round("relevance", 6).alias("relevance"))
+    return fulltext.search(document_index(spark, sf), match.query_terms("Fassade scanner caché"), "or").select("doc_id", F.round("relevance", 6).alias("relevance"))
 
 
 def fts_prefix(spark: SparkSession, sf: str) -> DataFrame:
     """Keys of the documents that hold words with all prefixes, unranked and complete."""
-    return bm25(_docs(spark, sf), "text", ["sign", "col"], "and", prefix=True).select("doc_id")
+    return fulltext.search(document_index(spark, sf), ["sign", "col"], prefix=True).select("doc_id")
 
 
 def fts_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "symbols").select(*HIT, "doc", "signature").distinct().withColumn("_b", symbol_body())
-    return bm25(s, "_b", match.query_terms("oldest open"), "and").select("ws", "file", "path", F.round("relevance", 6).alias("relevance"))
+    return fulltext.search(symbol_index(table(spark, sf, "symbols")), match.query_terms("oldest open")).select("ws", "file", "path", F.round("relevance", 6).alias("relevance"))
 
 
 def quotes(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,7 +206,8 @@ def name_ladder(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def find_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return find(table(spark, sf, "files"), table(spark, sf, "symbols"), "drop older day").drop("relevance")
+    files, symbols = table(spark, sf, "files"), table(spark, sf, "symbols")
+    return find(files, symbols, "drop older day", indexes=(symbol_index(symbols), content_index(files))).drop("relevance")
 
 
 def find_by_ladder(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,7 +232,7 @@ def grep_indexed(spark: SparkSession, sf: str) -> DataFrame:
     return grep.matching_lines(f.where(vouched), m).select("ws", "rel", "ln", "line")
 
 
-QUERIES = {f.__name__: f for f in (fts_and, fts_or_loose, fts_prefix, fts_symbols, quotes, name_ladder, find_ranked, find_by_ladder, grep_indexed)}
+QUERIES = {f.__name__: f for f in (fts_and, fts_scan, fts_or_loose, fts_prefix, fts_symbols, quotes, name_ladder, find_ranked, find_by_ladder, grep_indexed)}
 
 _T = corpus.TERMS_SQL
 
@@ -211,6 +252,7 @@ _SYM = f"""S AS (SELECT DISTINCT ws, file, path, name, kind, line_start, line_en
  K AS (SELECT id, term FROM T WHERE len(term) >= 2 AND term NOT IN ({corpus.STOP_SQL}))"""
 ORACLE = {
     "fts_and": _bm25_sql(match.query_terms("the missing manifest on disk"), "and").replace("{k}", "doc_id"),
+    "fts_scan": _bm25_sql(match.query_terms("the missing manifest on disk"), "and").replace("{k}", "doc_id"),
     "fts_or_loose": _bm25_sql(match.query_terms("Fassade scanner caché"), "or").replace("{k}", "doc_id"),
     "fts_prefix": f"WITH {_T} SELECT doc_id FROM K GROUP BY doc_id HAVING count(*) FILTER (term LIKE 'sign%') > 0 AND count(*) FILTER (term LIKE 'col%') > 0",
     "fts_symbols": "SELECT ws, file, path, relevance FROM (" + _bm25_sql(match.query_terms("oldest open"), "and", _SYM, "id", "R").replace("{k}", "id") + ") JOIN (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT ws, file, path, name, kind, line_start, line_end, doc, signature FROM symbols)) USING (id)",

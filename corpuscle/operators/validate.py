@@ -157,6 +157,12 @@ def file_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("ws", "source", "code").agg(F.count("*").alias("n"), F.countDistinct("rel").alias("files"))
 
 
+def json_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON files with a syntax diagnostic."""
+    d = diagnostics(table(spark, sf, "files").where("lower(rel) LIKE '%.json'"))
+    return d.where("source = 'syntax'").select("ws", "rel").distinct()
+
+
 def template_tags(spark: SparkSession, sf: str) -> DataFrame:
     return diagnostics(table(spark, sf, "files").where("rel LIKE '%.js' OR rel LIKE '%.ts' OR rel LIKE '%.mjs'")).where("source = 'template'").select("ws", "rel", "line", "message")
 
@@ -181,8 +187,9 @@ def eol_normal(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("ws", "rel", F.md5(text.normalise_eol(F.col("content"), text.dominant_eol(F.col("content")))).alias("md5")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (file_diagnostics, template_tags, diag_compare, color_nearest, eol_normal)}
+QUERIES = {f.__name__: f for f in (file_diagnostics, json_diagnostics, template_tags, diag_compare, color_nearest, eol_normal)}
 ORACLE = {
+    "json_diagnostics": f"WITH {corpus.SEARCHABLE_SQL} SELECT DISTINCT ws, rel FROM C WHERE lower(rel) LIKE '%.json' AND NOT json_valid(content)",
     "diag_compare": """WITH f AS (SELECT DISTINCT ws, rel, analyzer_version AS v, regexp_replace(reason, '\\d+', '0', 'g') AS cause FROM files WHERE reason IS NOT NULL),
  g AS (SELECT ws, cause, count(*) FILTER (v = 'a:2') AS a, count(*) FILTER (v = 'a:3') AS b FROM f WHERE v IN ('a:2', 'a:3') GROUP BY ws, cause)
  SELECT ws, cause, greatest(b - a, 0) AS new, greatest(a - b, 0) AS resolved, least(a, b) AS remaining FROM g""",

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,17 +52,22 @@ def shared_base(spark: SparkSession) -> str:
 _OWN: dict[str, SparkSession] = {}
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below :func:`shared_base` for tables that are of use to this application only.
+def app_dir(spark: SparkSession) -> str:
+    """The folder below :func:`shared_base` for tables that are of use to this application only.
 
-    They lie in one folder of the application, which is deleted when the driver ends (or by :func:`clean`).
+    It is deleted when the driver ends (or by :func:`clean`).
     """
     own = f"{shared_base(spark)}/corpuscle-{spark.sparkContext.applicationId}"
     if own not in _OWN:
         if not _OWN:
             atexit.register(clean)
         _OWN[own] = spark
-    return f"{own}/{label}-{uuid.uuid4().hex}"
+    return own
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder in that of the application."""
+    return f"{app_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def clean() -> None:
@@ -85,6 +90,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(watch: Observation, name: str) -> int | None:
+    """A metric that was observed on the way; None where the optimiser left the observed step out, as for an empty input."""
+    try:
+        return int(watch.get[name])
+    except Exception:
+        return None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """For costly maps right behind a scan: enough partitions to keep every core busy.
 

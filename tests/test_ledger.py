@@ -153,6 +153,13 @@ def test_runs_follow_each_other_on_one_root(spark):
     assert Runs(spark, root).head()[1]["run"] == 5
 
 
+def test_runs_over_nothing(spark):
+    files, root = spark.createDataFrame([("w", "a", 1, 1.0, "AB")], FILE), shared_dir(spark, "t")
+    for listings in (feed(spark, []), feed(spark, [("a", "AB", False, 1, 1)]).limit(0), feed(spark, [("a", "AB", False, 1, 1)])):
+        assert incremental.process_changes(spark, listings, files, root).count() == 0
+    assert incremental.process_changes(spark, feed(spark, [("a", "AB", False, 1, 1)]), files.limit(0), shared_dir(spark, "t")).count() == 1
+
+
 def test_two_planners_make_one_run(spark):
     runs = Runs(spark, shared_dir(spark, "t"))
     inner = []

@@ -32,9 +32,15 @@ def test_generations(spark):
     df = spark.createDataFrame([("w", "a", 1), ("w", "b", 1)], "ws string, rel string, v int")
     assert s.save({"files": df}) == 0
     new = spark.createDataFrame([("w", "b", 2), ("w", "c", 2)], "ws string, rel string, v int")
-    assert s.save({"files": s.upsert("files", new, ["ws", "rel"])}) == 1
+    assert s.save({"other": df.limit(1)}) == 1  # the first table is carried on
+    assert s.upsert("files", new, ["ws", "rel"]) == 2 and s.load("other").count() == 1
     assert sorted((r["rel"], r["v"]) for r in s.load("files").collect()) == [("a", 1), ("b", 2), ("c", 2)]
     assert s.load("files", 0).count() == 2
+    far = spark.createDataFrame([("x", "z", 5)], "ws string, rel string, v int")
+    s.upsert("files", far, ["ws", "rel"])
+    assert s.remove("files", df.where("rel = 'a'"), ["ws", "rel"]) == 4
+    assert sorted((r["rel"], r["v"]) for r in s.load("files").collect()) == [("b", 2), ("c", 2), ("z", 5)]
+    assert s.change({"files": (None, df.limit(0), ["ws", "rel"])}) == 5 and s.load("files").count() == 3
     with pytest.raises(ValueError):
         s.save({"files": df.withColumn("content", F.lit("x"))})
 
