@@ -165,7 +165,7 @@ ORACLE = {
     "structure_dirs": f"WITH {FILES_SQL} SELECT ws, dir, count(*) AS files, CAST(coalesce(sum(lines), 0) AS BIGINT) AS lines, CAST(sum(n_symbols) AS BIGINT) AS symbols FROM F GROUP BY GROUPING SETS ((ws, dir), (ws))",
     "structure_prefix": f"WITH {FILES_SQL} SELECT ws, count(*) AS files, CAST(sum(n_symbols) AS BIGINT) AS symbols FROM F WHERE starts_with(rel, 'li') GROUP BY ws",
     "largest_symbols": "SELECT DISTINCT ws, file, name, kind, line_end - line_start + 1 AS span FROM symbols WHERE parent IS NULL ORDER BY span DESC, ws, file, name LIMIT 12",
-    "symbols_table": "SELECT DISTINCT ws, file, name, path, parent, line_start, line_end, left(doc, 160) AS doc, coalesce(exported, false) AS exported FROM symbols WHERE kind = 'method'",
+    "symbols_table": "SELECT DISTINCT ws, file, name, path, parent, line_start, line_end, left(doc, 160) AS doc, coalesce(exported, false) AS exported FROM symbols",
     "secret_files": f"""SELECT DISTINCT ws, rel, {SECRET_SQL} AS secret, CASE WHEN {SECRET_SQL} THEN '{paths.OPAQUE_SECRET}' ELSE '{paths.OPAQUE_OTHER}' END AS why FROM files
  WHERE NOT ({EXT_SQL} IN ({KNOWN_EXT_SQL}) AND NOT {SECRET_SQL} AND coalesce(size <= {paths.TEXT_MAX}, true))""",
     "file_hashes": "SELECT DISTINCT ws, rel, upper(sha1(content)) AS sha1, upper(sha1(content)) = upper(hash) AS same FROM files WHERE content IS NOT NULL",
@@ -177,9 +177,10 @@ ORACLE = {
  AND NOT regexp_matches(rel, '(^|/)[^/]*\\.md(/|$)') AND rel NOT LIKE 'tools/%'""",
     "glob_paths": f"""WITH {FILES_SQL} SELECT ws, rel, size, lines, lang, coalesce(indexed, true) AS indexed FROM F WHERE (rel LIKE 'src/%' OR rel LIKE 'lib/%')
  AND (regexp_matches(rel, '\\.(py|go)$') OR regexp_matches(rel, '(^|/)tide/') OR regexp_matches(rel, '^src/[^/]*-[a-m][^/]*(/|$)')) AND NOT regexp_matches(rel, '^lib/([^/]*/)*[^/]*_1[^/]*')""",
-    "addressing": """WITH s AS (SELECT DISTINCT ws, file, path, name FROM symbols),
- a AS (SELECT name AS q FROM s WHERE name LIKE 'rank%' UNION SELECT split_part(path, '.', 1) FROM s WHERE name LIKE 'rank%'),
- b AS (SELECT q, ws, file, path, min(CASE WHEN path = q THEN 0 ELSE 2 END) AS tier FROM s JOIN a ON path = q OR name = q GROUP BY ALL),
+    "addressing": """WITH s AS (SELECT DISTINCT ws, file, path, name FROM symbols), p AS (SELECT *, string_split(path, '.') AS a FROM s),
+ e AS (SELECT ws, file, path, array_to_string(a[i:], '.') AS q FROM (SELECT ws, file, path, a, unnest(range(1, len(a) + 1)) AS i FROM p)),
+ t AS (SELECT path AS q, ws, file, path, 0 AS tier FROM s UNION ALL SELECT q, ws, file, path, 1 FROM e WHERE contains(q, '.') AND q <> path UNION ALL SELECT name, ws, file, path, 2 FROM s),
+ b AS (SELECT q, ws, file, path, min(tier) AS tier FROM t WHERE q IS NOT NULL GROUP BY ALL),
  m AS (SELECT q, min(tier) AS tier FROM b GROUP BY q) SELECT b.q, CAST(b.tier AS INTEGER) AS tier, count(*) AS candidates FROM b JOIN m ON b.q = m.q AND b.tier = m.tier GROUP BY ALL""",
     "duplicate_names": """WITH s AS (SELECT DISTINCT ws, file, name, path, line_start FROM symbols),
  n AS (SELECT *, count(*) OVER (PARTITION BY ws, name) AS n, row_number() OVER (PARTITION BY ws, name ORDER BY file, line_start, path) AS i FROM s)

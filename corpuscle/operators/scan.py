@@ -151,7 +151,7 @@ ORACLE = {
     "removed_files": f"WITH {_N} SELECT ws, rel FROM J WHERE known AND (NOT listed OR gone)",
     "moved_flags": f"WITH {_N} SELECT ws, rel, coalesce(moved AND NOT gone, false) AS moved, coalesce(gone, false) AS gone, NOT listed AS unverified FROM J WHERE known",
     "orphaned_symbols": """SELECT DISTINCT ws, file AS rel, 'symbols' AS side FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.ws = s.ws AND f.rel = s.file)
- UNION ALL SELECT DISTINCT ws, rel, 'files' FROM files f WHERE content IS NOT NULL AND rel LIKE '%.py' AND NOT EXISTS (SELECT 1 FROM symbols s WHERE f.ws = s.ws AND f.rel = s.file)""",
+ UNION ALL SELECT DISTINCT ws, rel, 'files' FROM files f WHERE content IS NOT NULL AND regexp_matches(rel, '\\.(py|m?js|ts|go|java|rs)$') AND NOT EXISTS (SELECT 1 FROM symbols s WHERE f.ws = s.ws AND f.rel = s.file)""",
     "commit_outcomes": f"""WITH {_N}, W AS (SELECT ws, rel, max({_H}) AS w FROM listings WHERE hash IS NOT NULL GROUP BY ws, rel)
  SELECT CASE WHEN lh IS NULL AND w IS NOT NULL THEN CASE WHEN sh IS NULL THEN 'missing' ELSE 'removed' END WHEN lh IS NOT DISTINCT FROM w THEN CASE WHEN sh IS NOT DISTINCT FROM w THEN 'unchanged' ELSE 'written' END
  WHEN lh IS NOT DISTINCT FROM sh THEN 'not written' ELSE 'changed by another' END AS outcome, count(*) AS files FROM J LEFT JOIN W ON J.ws = W.ws AND J.rel = W.rel WHERE listed AND known GROUP BY 1""",

@@ -189,7 +189,9 @@ def eol_normal(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (file_diagnostics, json_diagnostics, template_tags, diag_compare, color_nearest, eol_normal)}
 ORACLE = {
-    "json_diagnostics": f"WITH {corpus.SEARCHABLE_SQL} SELECT DISTINCT ws, rel FROM C WHERE lower(rel) LIKE '%.json' AND NOT json_valid(content)",
+    # json_valid lets a comma at the end pass
+    "json_diagnostics": f'''WITH {corpus.SEARCHABLE_SQL} SELECT DISTINCT ws, rel FROM C WHERE lower(rel) LIKE '%.json' AND (NOT json_valid(content)
+ OR regexp_matches(regexp_replace(content, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g'), ',\\s*[}}\\]]'))''',
     "diag_compare": """WITH f AS (SELECT DISTINCT ws, rel, analyzer_version AS v, regexp_replace(reason, '\\d+', '0', 'g') AS cause FROM files WHERE reason IS NOT NULL),
  g AS (SELECT ws, cause, count(*) FILTER (v = 'a:2') AS a, count(*) FILTER (v = 'a:3') AS b FROM f WHERE v IN ('a:2', 'a:3') GROUP BY ws, cause)
  SELECT ws, cause, greatest(b - a, 0) AS new, greatest(a - b, 0) AS resolved, least(a, b) AS remaining FROM g""",

@@ -164,14 +164,19 @@ def nearest_per_group(vectors: DataFrame, queries: DataFrame, group: str, key: s
 # -- an index: inverted lists of a coarse quantiser
 
 
+def _sample(vectors: DataFrame, most: int, key: str, value: str) -> np.ndarray:
+    """Unit vectors of at most ``most`` rows, by hash of the key."""
+    total, scale = vectors.count(), 1 << 50
+    share = max(1, int(min(1.0, most / max(1, total)) * scale))
+    rows = vectors.where(F.col(value).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(scale)) < share)).select(value).limit(most).collect()
+    return _unit(np.array([r[value] for r in rows], np.float64)) if rows else np.zeros((0, 0))
+
+
 def fit_centroids(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int = 8, key: str = "vec_id", value: str = "embedding", seed: int = 3) -> np.ndarray:
     """k-means on a bounded sample by hash of the key (at most ``sample`` vectors)."""
-    total, scale = vectors.count(), 1 << 50
-    share = min(1.0, sample / max(1, total))
-    rows = vectors.where(F.col(value).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(scale)) < max(1, int(share * scale)))).select(value).limit(sample).collect()
-    if not rows:
+    x = _sample(vectors, sample, key, value)
+    if not len(x):
         return np.zeros((0, 0))
-    x = _unit(np.array([r[value] for r in rows], np.float64))
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
     for _ in range(rounds):
@@ -180,6 +185,18 @@ def fit_centroids(vectors: DataFrame, lists: int, sample: int = 20_000, rounds:
     return c
 
 
+def choose_probes(vectors: DataFrame, centroids: np.ndarray, k: int = 10, goal: float = 0.95, sample: int = 20_000, key: str = "vec_id", value: str = "embedding") -> int:
+    """The least number of lists in which ``goal`` of the k nearest of sampled vectors lie, measured within a bounded sample."""
+    if not len(centroids):
+        return 1
+    x = _sample(vectors, sample, key, value)
+    lists = (x @ centroids.T).argmax(1)
+    q = x[:256]
+    near = np.argsort(-(q @ x.T), axis=1)[:, :k]
+    rank = np.argsort(np.argsort(-(q @ centroids.T), axis=1), axis=1)
+    return int(np.quantile(np.take_along_axis(rank, lists[near], 1), goal)) + 1
+
+
 def index_vectors(vectors: DataFrame, centroids: np.ndarray, key: str = "vec_id", value: str = "embedding") -> DataFrame:
     """Every row with its list; written partitioned by list it is the index. Without centroids all rows lie in list 0."""
     if not len(centroids):
@@ -267,9 +284,9 @@ def knn_indexed(spark: SparkSession, sf: str) -> DataFrame:
     """Recall of the index against the exact answer, over all queries."""
     v = _vec(spark, sf)
     q = v.where("vec_id % 20 = 0")
-    c = fit_centroids(v, 16)
+    c = fit_centroids(v, max(16, round(v.count() ** 0.5)))
     exact = nearest(v, q, 10).select("q", "key")
-    found = indexed_nearest(index_vectors(v, c), c, q, 10, 8).select("q", "key").withColumn("hit", F.lit(1))
+    found = indexed_nearest(index_vectors(v, c), c, q, 10, choose_probes(v, c)).select("q", "key").withColumn("hit", F.lit(1))
     j = exact.join(found, ["q", "key"], "left")
     return j.agg(F.count("*").alias("wanted"), (F.count("hit") / F.count("*") >= 0.9).alias("recall_ok"))
 
