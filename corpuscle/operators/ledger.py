@@ -91,6 +91,10 @@ class _Fs:
             raise
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return _Fs(spark, path).exists(path)
+
+
 def _newest(fs: _Fs, folder: str, default: dict) -> tuple[int, dict]:
     """Number and content of the newest state file."""
     names = [n for n in fs.names(folder) if n.endswith(".json")]
