@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ledger import path_exists
 from ..session import shared_base, spread
 
 # fixed values: ISO 639-1 code, ISO 639-2 and -3 codes, English names
@@ -367,10 +367,7 @@ def fit(documents: DataFrame, per_language: int = 120) -> Model:
     spark = documents.sparkSession
     digest = hashlib.sha1(repr((VERSION, BUCKETS, DIM, RATE, EPOCHS, GRAMS, rows)).encode("utf-8", "surrogatepass")).hexdigest()
     path = f"{shared_base(spark)}/corpuscle-models/language-{digest}"
-    try:
-        stored = spark.read.schema(STORED).parquet(path).collect()
-    except AnalysisException:  # not trained yet
-        stored = []
+    stored = spark.read.schema(STORED).parquet(path).collect() if path_exists(spark, f"{path}/_SUCCESS") else []
     if len(stored) == 1:
         r = stored[0]
         scores = np.frombuffer(bytes(r["scores"]), np.float32).reshape(BUCKETS, -1)
