@@ -69,7 +69,7 @@ _CODE = re.compile(
     r"^(?:\t| {4,})?\s*(?:(?:let|const|var|import|from|return|func|function|def|class|fn|pub|use|package|public|private|if|for|while|else|export|print|log|throw|try|catch|switch|case|new|async|await)\b.*[=({;:\])}]|[\w.\[\]]+\s*(?:[:+\-*/]?=)\s*.+|[\w.]+\(.*\)[;,]?|[{}()\[\];,]+|[$>%#]\s+(?:git|npm|pip|cargo|go|python|cd|ls|curl|make|docker|sudo|java|node|rm|cp|mv|cat|grep)\b.*|"
     r"at \S+\(.*|Traceback.*|File \".*|\w*(?:Error|Exception|Warning):.*|(?:\[?\d{4}-\d\d-\d\d[T ]?[\d:.,Z]*\]?|\d\d:\d\d:\d\d[.,\d]*)\s.*|(?:FATAL|ERROR|WARN|WARNING|INFO|DEBUG|TRACE|fatal|error|warning|panic)\b\s*[:\[(].*|[-+]{3} .*|@@ .*|diff --git.*|\|.*\|)\s*$"
 )
-_LEAD = re.compile(r"^[\s>*#/+\-–•|!;%]*(?:\d+[.)]\s+)?(?:[\w ]{1,12}:\s(?=\S))?(?:[*•\-]\s+)?")
+_MARGIN = re.compile(r"^[\s>*#/+\-–•|!;%]*(?:\d+[.)]\s+)?")
 _SPEAKER = re.compile(r"^(?:[A-Z]|\w{1,10}):\s")
 _END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’ʼ-][^\W\d_]+)*")
@@ -77,8 +77,15 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]")
 _SYMBOL = re.compile(r"[{}=;<>_\\|&$@^~\[\]]")
 
 
-#: Without any of these nothing is taken out by _DROP.
-_MAY_DROP = re.compile(r"[`\"“«„\[/\\@_#<]|\w\(|--|[a-z][A-Z]|[A-Za-z0-9+=-]{32}")
+_MARKS = re.compile(r"[`\"“«„\[/\\@_#<(]")
+_CAMEL = re.compile(r"[a-z][A-Z]")
+
+
+def _may_drop(part: str) -> bool:
+    """False only if nothing in the text is taken out by _DROP: no mark, no option, no camel case, no word of 32 characters."""
+    return _MARKS.search(part) is not None or "--" in part or _CAMEL.search(part) is not None or any(len(w) > 31 for w in part.split())
+
+
 _DIGIT = re.compile(r"\d")
 _ODD = re.compile(r"(?<!\S)(?:\S{1,2}(?!\S)|[^\s\d]*\d\S*)")
 
@@ -99,7 +106,7 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
         begin, at = at, at + len(line) + 1
         if not line.strip() or _CODE.match(line):
             continue
-        lead = re.match(r"^[\s>*#/+\-–•|!;%]*(?:\d+[.)]\s+)?", line)
+        lead = _MARGIN.match(line)
         body = line[lead.end() :]
         speaker = _SPEAKER.match(body)
         pos = lead.end() + (speaker.end() if speaker else 0)
@@ -108,7 +115,7 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
                 continue
             start = begin + line.find(part, pos)
             pos = start - begin + len(part)
-            bare = _DROP.sub(" ", part) if _MAY_DROP.search(part) else part
+            bare = _DROP.sub(" ", part) if _may_drop(part) else part
             cjk = 0 if bare.isascii() else len(_CJK.findall(bare))
             n = len(_WORD.findall(bare))
             if cjk * 2 >= len(bare.strip()) and cjk:
@@ -123,9 +130,12 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
 # -- features: hashed character n-grams of many sentences at once
 
 
+_NO_LETTER = re.compile(r"[\W\d_]+")
+
+
 def _letters(text: str) -> str:
     """Lower case, all that is no letter as one blank, and an apostrophe kept."""
-    return re.sub(r"[\W\d_]+", " ", " " + text.lower() + " ")
+    return _NO_LETTER.sub(" ", " " + text.lower() + " ")
 
 
 def unaccented(text: str) -> str:
