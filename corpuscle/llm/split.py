@@ -102,6 +102,8 @@ def split_one(text: str, symbol_lines, limit: int, overlap: int) -> tuple[list[t
     """(start, end, cut, kind of the cut at the end) of each piece, and the lines that alone are too long."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     overlap = max(0, overlap)
+    if overlap >= limit:
+        raise ValueError(f"an overlap of {overlap} is not below the limit of {limit}")
     starts = line_starts(cp)
     step = max(1, limit - overlap)
     cuts, kinds = greedy_cuts(len(cp), boundaries(cp, starts, symbol_lines, step), limit, overlap)

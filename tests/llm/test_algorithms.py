@@ -22,8 +22,12 @@ def vocab():
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab \n\rx", max_size=400), st.integers(2, 90), st.integers(0, 60), st.lists(st.integers(-1, 30), max_size=4))
 def test_pieces_cover_within_the_limit(text, limit, overlap, symbols):
+    if overlap >= limit:  # no piece could advance
+        with pytest.raises(ValueError, match="overlap"):
+            split.split_one(text, symbols, limit, overlap)
+        return
     pieces, wide = split.split_one(text, symbols, limit, overlap)
-    lap = min(overlap, max(0, limit // 2 - 1))
+    lap = overlap  # what was asked, up to the limit less one
     if text:
         assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
     for i, (a, b, cut, kind) in enumerate(pieces):
