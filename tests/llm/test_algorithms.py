@@ -160,7 +160,7 @@ def test_packed_table(spark):
     rnd = random.Random(1)
     rows = [(i, None if i % 50 == 0 else 0 if i % 33 == 0 else 7 if i % 3 else rnd.randint(1, 260)) for i in range(900)] + [(5, 7), (5, 7)]
     df = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint").cache()
-    got = pack.pack(df, 100, buckets=4).collect()
+    got = pack.pack(df, 100, rows_per_bucket=7).collect()
     assert sum(r["size"] for r in got) == sum(n or 0 for _, n in rows)
     fill, pieces = {}, {}
     for r in got:
