@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
             "glob": lambda: files.select("ws", "rel", "size").distinct().where(paths.PathMatcher(include=tuple(paths.split_list(a.pattern))).column(rel)).orderBy("ws", "rel"),
             "grep": lambda: _grep(files, a),
             "find": lambda: search.find(files, symbols, a.query, a.kind),
-            "refs": lambda: grep.references(files, symbols, a.name).orderBy("label", "ws", "rel", "ln"),
+            "refs": lambda: grep.references(files, symbols, a.name).orderBy(F.expr("array_position(array('local', 'imported', 'textual'), label)"), "ws", "rel", "ln"),
             "importers": lambda: edges.importers(edges.edges(files).cache()).where(F.col("target") == a.file).orderBy("file", "line"),
             "symbols": lambda: symbols.where(F.col("file") == a.file).select("name", "kind", "path", "line_start", "line_end", "signature").distinct().orderBy("line_start", "path"),
             "stats": lambda: files.select("rel", "indexed").distinct().groupBy(paths.lang_of(rel).alias("lang")).agg(F.count("*").alias("files")).orderBy("lang"),

@@ -234,6 +234,8 @@ def python(text: str) -> list[Symbol]:
             else:
                 for inner in ("body", "orelse", "finalbody"):
                     visit([n for n in getattr(node, inner, []) if isinstance(n, ast.stmt)], path, parent, kind_in)
+                for part in (*getattr(node, "handlers", []), *getattr(node, "cases", [])):
+                    visit(part.body, path, parent, kind_in)
 
     visit(tree.body, "", None, "")
     return out

@@ -102,6 +102,9 @@ def test_limits_ranges_and_declarations():
     assert lookup.parse_range("a/b.js:12-30") == ("a/b.js", 12, 30) and lookup.parse_range("a.js#7") == ("a.js", 7, 7) and lookup.parse_range("a#b") is None
     assert (lookup.limit_of("find", None), lookup.limit_of("find", 0), lookup.limit_of("files", "x"), lookup.limit_of("refs", 0), lookup.limit_of("refs", 7)) == (20, 0, None, 40, 7)
     assert lookup.declared({"devDependencies": {"b": 1}, "dependencies": {"a": 1, "b": 2}}) == ["a", "b"]
+    from corpuscle.operators import extract
+
+    assert [s.name for s in extract.python("try:\n    def a(): pass\nexcept E:\n    def b(): pass\nmatch x:\n    case 1:\n        def c(): pass\n")] == ["a", "b", "c"]
     names, members, hops = lookup.members_of_declarations("export declare class W {\n  run(a: string): void;\n  size?: number;\n}\nexport { x as y } from './z';\nexport * from './w';\n")
     assert names == ["W", "y"] and members == ["W.run", "W.size"] and hops == ["./z", "./w"]
 
