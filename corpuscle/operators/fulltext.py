@@ -78,14 +78,11 @@ def stored(source: DataFrame, docs: DataFrame, keys: list[str], body: str, label
     """The index of ``docs``, which is a function of the files under ``source`` and named by ``label``: built for the first
     query of the application that asks for it, and read by the others until those files change."""
     spark = source.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    state = []
-    for name in sorted(source.inputFiles()):
-        p = jvm.org.apache.hadoop.fs.Path(name)
-        s = p.getFileSystem(conf).getFileStatus(p)
-        state.append((name, s.getLen(), s.getModificationTime()))
-    path = f"{app_dir(spark)}/fulltext-{label}-{hashlib.sha1(repr((state, keys)).encode()).hexdigest()}"
-    buckets = max(4, min(1 << 16, sum(n for _, n, _ in state) // BUCKET_BYTES))
+    # one row, whatever the number of files: what they are, and how large together
+    read = source.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("m")).distinct()
+    state = read.agg(F.bit_xor(F.xxhash64("p", "s", "m")), F.count("*"), F.sum("s")).first()
+    path = f"{app_dir(spark)}/fulltext-{label}-{hashlib.sha1(repr((tuple(state), keys)).encode()).hexdigest()}"
+    buckets = max(4, min(1 << 16, (state[2] or 0) // BUCKET_BYTES))
     there = _Fs(spark, path).exists(f"{path}/totals/_SUCCESS")
     t = spark.read.schema(TOTALS).parquet(f"{path}/totals").first() if there else None
     return Index(spark, path, tuple(keys), t["texts"], t["terms"], t["buckets"], docs.select(*keys).schema) if t else build(docs, keys, body, path, buckets)
